@@ -399,11 +399,11 @@ NORMALISED = """(
     UNION ALL
     SELECT event_id, key, arg_max(value, i) FROM (
       SELECT event_id, i, unnest(json_keys(x)) AS key, x FROM (
-        SELECT event_id, unnest(range(json_array_length(j))) AS i, json_extract(j, '$[' || i || ']') AS x FROM lists WHERE objects)
+        SELECT event_id, unnest(range(json_array_length(j)::BIGINT)) AS i, json_extract(j, '$[' || i || ']') AS x FROM lists WHERE objects)
       ), LATERAL (SELECT json_extract_string(x, '$."' || key || '"') AS value) GROUP BY event_id, key
     UNION ALL
     SELECT event_id, 'item_' || i, json_extract_string(j, '$[' || i || ']')
-      FROM (SELECT event_id, j, unnest(range(json_array_length(j))) AS i FROM lists WHERE NOT objects)
+      FROM (SELECT event_id, j, unnest(range(json_array_length(j)::BIGINT)) AS i FROM lists WHERE NOT objects)
     UNION ALL
     SELECT event_id, 'value', json_extract_string(j, '$') FROM src
       WHERE json_type(j) NOT IN ('OBJECT', 'ARRAY', 'NULL'))"""
@@ -462,5 +462,5 @@ def p24(spark, folder):
     "run_events",
 )
 def p25(spark, folder):
-    total = shape(spark, folder, "run_events").groupBy("run_id").agg(F.round(F.sum("cost"), 6).alias("total_cost"))
+    total = shape(spark, folder, "run_events").groupBy("run_id").agg(F.round(usage.exact_sum(F.col("cost")), 6).alias("total_cost"))
     return total.withColumn("is_high", usage.is_high_cost(F.col("total_cost")))

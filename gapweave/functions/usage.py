@@ -17,6 +17,11 @@ def extract_cost(usage: Column) -> Column:
     )
 
 
+def exact_sum(cost: Column) -> Column:
+    """Sum in whole millionths, so that it does not depend on the order of rows."""
+    return F.sum(F.round(cost * 1_000_000).cast("long")) / F.lit(1_000_000.0)
+
+
 def token_count(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 

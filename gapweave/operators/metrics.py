@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FAILED, FINISHED
-from ..functions.usage import rate, status_text
+from ..functions.usage import exact_sum, rate, status_text
 from . import running
 
 PLACES = 6
@@ -20,10 +20,6 @@ def _money(c: Column) -> Column:
     return F.round(F.coalesce(c, F.lit(0.0)), PLACES)
 
 
-def _where(condition: Column, value: Column) -> Column:
-    return F.when(condition, value)
-
-
 def _seconds(later: Column, earlier: Column) -> Column:
     micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
     return micros / F.lit(1_000_000.0)
@@ -36,7 +32,7 @@ def channel_statistics(hits: DataFrame, channel_usage: DataFrame) -> DataFrame:
     """Hits, cost, time and best hit per channel, and a total row."""
     best = F.min_by("title", F.struct("channel_rank", "link"))
     per_hit = hits.groupBy("channel").agg(F.count("*").alias("results"), best.alias("top_result"))
-    per_use = channel_usage.groupBy("channel").agg(F.sum("cost").alias("cost"), F.sum("elapsed").alias("elapsed"))
+    per_use = channel_usage.groupBy("channel").agg(exact_sum(F.col("cost")).alias("cost"), F.sum("elapsed").alias("elapsed"))
     merged = per_use.join(per_hit, "channel", "left")
     by_channel = merged.rollup("channel").agg(
         F.coalesce(F.sum("results"), F.lit(0)).alias("results"),
@@ -50,12 +46,12 @@ def channel_statistics(hits: DataFrame, channel_usage: DataFrame) -> DataFrame:
 
 def scrape_costs(scrapes: DataFrame) -> DataFrame:
     """Totals and averages over all rows with a known cost."""
-    ok = F.col("success")
+    cost, paid = F.col("cost"), F.when(F.col("success"), F.col("cost"))
     return scrapes.agg(
-        _money(F.sum("cost")).alias("total_cost"),
-        _money(F.sum(_where(ok, F.col("cost")))).alias("successful_scrapes_cost"),
-        _money(F.avg("cost")).alias("avg_cost_per_scrape"),
-        _money(F.avg(_where(ok, F.col("cost")))).alias("avg_cost_per_successful"),
+        _money(exact_sum(cost)).alias("total_cost"),
+        _money(exact_sum(paid)).alias("successful_scrapes_cost"),
+        _money(F.try_divide(exact_sum(cost), F.count(cost))).alias("avg_cost_per_scrape"),
+        _money(F.try_divide(exact_sum(paid), F.count(paid))).alias("avg_cost_per_successful"),
     )
 
 
@@ -63,10 +59,10 @@ def scrape_cost_analysis(scrapes: DataFrame, by: tuple[str, ...] = ()) -> DataFr
     """Counts, rates and extremes; unknown costs count as 0."""
     cost = F.coalesce("cost", F.lit(0.0))
     ready = F.col("status") == "ready"
-    chars = F.sum(_where(ready, F.length("data")))
+    chars = F.sum(F.when(ready, F.length("data")))
     n_ready = F.count_if(ready)
     grouped = scrapes.groupBy(*by).agg(
-        F.sum(cost).alias("_cost"),
+        exact_sum(cost).alias("_cost"),
         n_ready.alias("successful_scrapes"),
         F.count_if(~ready).alias("failed_scrapes"),
         F.count("*").alias("total_urls"),
@@ -113,7 +109,7 @@ def stage_counters(events: DataFrame) -> DataFrame:
         n("extracted").alias("urls_extracted"),
         n("failed").alias("urls_failed"),
         n("found").alias("urls_found"),
-        F.sum("cost").alias("total_cost"),
+        exact_sum(F.col("cost")).alias("total_cost"),
         _seconds(F.max("ts"), F.min("ts")).alias("seconds"),
     )
 
@@ -134,7 +130,7 @@ def run_metrics(events: DataFrame) -> DataFrame:
         return F.count_if(F.col("stage") == stage)
 
     def spent(stage):
-        return F.coalesce(F.sum(F.when(F.col("stage") == stage, F.col("cost"))), F.lit(0.0))
+        return F.coalesce(exact_sum(F.when(F.col("stage") == stage, F.col("cost"))), F.lit(0.0))
 
     base = events.groupBy("run_id").agg(
         n("found").alias("urls_found"),
@@ -164,7 +160,7 @@ def run_metrics(events: DataFrame) -> DataFrame:
 def cost_extremes(events: DataFrame, threshold: float) -> DataFrame:
     """Dearest link, cheapest success and whether a run passed its limit."""
     extracted = F.col("stage") == "extracted"
-    total = F.sum("cost")
+    total = exact_sum(F.col("cost"))
     return events.groupBy("run_id").agg(
         F.min_by("url", F.struct(-F.col("cost"), F.col("url"))).alias("most_expensive_url"),
         F.min(F.when(extracted, F.col("cost"))).alias("cheapest_successful_extraction"),
@@ -212,7 +208,7 @@ def cost_breakdown(events: DataFrame) -> DataFrame:
     """Cost per run and stage with totals per run and over all."""
     return (
         events.rollup("run_id", "stage")
-        .agg(F.round(F.sum("cost"), PLACES).alias("cost"), F.count("*").alias("n"), F.grouping_id().alias("level"))
+        .agg(F.round(exact_sum(F.col("cost")), PLACES).alias("cost"), F.count("*").alias("n"), F.grouping_id().alias("level"))
         .withColumn("level", F.col("level").cast("long"))
     )
 
