@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["projections", "relations"]
+AREAS = ["projections", "relations", "extraction"]
 
 
 def _catalogs():

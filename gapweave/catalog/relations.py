@@ -160,7 +160,8 @@ def a1(spark, folder):
 @add(
     "a2_scrape_costs",
     """SELECT round(sum(cost), 6) AS total_cost, round(sum(cost) FILTER (success), 6) AS successful_scrapes_cost,
-       round(avg(cost), 6) AS avg_cost_per_scrape, round(avg(cost) FILTER (success), 6) AS avg_cost_per_successful FROM scrapes""",
+       round(round(sum(cost) * 1e6) / count(cost)) / 1e6 AS avg_cost_per_scrape,
+       round(round(sum(cost) FILTER (success) * 1e6) / count(cost) FILTER (success)) / 1e6 AS avg_cost_per_successful FROM scrapes""",
     "scrapes",
 )
 def a2(spark, folder):
@@ -169,8 +170,8 @@ def a2(spark, folder):
 
 ANALYSIS = """round(sum(c), 6) AS total_cost, count(*) FILTER (status = 'ready') AS successful_scrapes,
     count(*) FILTER (status <> 'ready') AS failed_scrapes, count(*) AS total_urls,
-    round(avg(CASE WHEN status = 'ready' THEN 1.0 ELSE 0 END), 6) AS success_rate, round(sum(c) / count(*), 6) AS avg_cost_per_url,
-    round(sum(c) / count(*) FILTER (status = 'ready'), 6) AS avg_cost_per_success,
+    round(avg(CASE WHEN status = 'ready' THEN 1.0 ELSE 0 END), 6) AS success_rate, round(round(sum(c) * 1e6) / count(*)) / 1e6 AS avg_cost_per_url,
+    round(round(sum(c) * 1e6) / count(*) FILTER (status = 'ready')) / 1e6 AS avg_cost_per_success,
     (sum(length(data)) FILTER (status = 'ready'))::BIGINT AS total_characters,
     round((sum(length(data)) FILTER (status = 'ready'))::DOUBLE / count(*) FILTER (status = 'ready'), 6) AS avg_chars_per_success,
     arg_min(url, (-c, url)) AS most_expensive_url, arg_min(url, (c, url)) AS cheapest_url"""
@@ -199,7 +200,7 @@ def a3_urls(spark, folder):
        coalesce(round(x / nullif(s, 0)::DOUBLE, 6), 0) AS extraction_success_rate,
        coalesce(round(x / nullif(f, 0)::DOUBLE, 6), 0) AS overall_success_rate,
        round(fc, 6) AS serp_cost, round(sc, 6) AS scrape_cost, round(xc, 6) AS extraction_cost,
-       round(fc + sc + xc, 6) AS total_cost, coalesce(round((fc + sc + xc) / nullif(x, 0), 6), 0) AS cost_per_successful_extraction
+       round(fc + sc + xc, 6) AS total_cost, coalesce(round(round((fc + sc + xc) * 1e6) / nullif(x, 0)) / 1e6, 0) AS cost_per_successful_extraction
      FROM (SELECT run_id, count(*) FILTER (stage = 'found') AS f, count(*) FILTER (stage = 'scraped') AS s,
              count(*) FILTER (stage = 'extracted') AS x, coalesce(sum(CAST(round(cost * 1000000) AS BIGINT)) FILTER (stage = 'found') / 1e6, 0) AS fc,
              coalesce(sum(CAST(round(cost * 1000000) AS BIGINT)) FILTER (stage = 'scraped') / 1e6, 0) AS sc, coalesce(sum(CAST(round(cost * 1000000) AS BIGINT)) FILTER (stage = 'extracted') / 1e6, 0) AS xc
@@ -214,7 +215,7 @@ def a4(spark, folder):
     "a5_cost_extremes",
     """SELECT run_id, arg_min(url, (-cost, url)) AS most_expensive_url,
        min(cost) FILTER (stage = 'extracted') AS cheapest_successful_extraction, round(sum(cost), 6) > 10 AS cost_threshold_exceeded,
-       coalesce(round(sum(CAST(round(cost * 1000000) AS BIGINT)) / 1e6 / nullif(count(*) FILTER (stage = 'extracted'), 0), 6), 0) AS cost_per_result
+       coalesce(round(sum(CAST(round(cost * 1000000) AS BIGINT)) / nullif(count(*) FILTER (stage = 'extracted'), 0)) / 1e6, 0) AS cost_per_result
        FROM run_events GROUP BY run_id""",
     "run_events",
 )

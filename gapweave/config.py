@@ -35,13 +35,20 @@ VENDOR_SEARCH_URLS = {
 
 @dataclass(frozen=True)
 class Field:
-    """One wanted field: what to look for and how to recognise its value."""
+    """One wanted field: what to look for and how to recognise its value.
+
+    ``pattern`` has one group for the value and is matched against the filtered
+    text, or against the page body itself if ``on_page``.  A value that does not
+    fit ``validator`` is dropped.  ``keywords`` mark the blocks worth keeping.
+    """
 
     name: str
     desc: str
     example: str | None = None
     pattern: str | None = None
     keywords: tuple[str, ...] = ()
+    on_page: bool = False
+    validator: str | None = None
 
     def __post_init__(self):
         if not self.name.strip() or not self.desc.strip():

@@ -22,6 +22,11 @@ def exact_sum(cost: Column) -> Column:
     return F.sum(F.round(cost * 1_000_000).cast("long")) / F.lit(1_000_000.0)
 
 
+def cost_per(total: Column, n: Column) -> Column:
+    """Cost per item, rounded in whole millionths; 0 where there is no item."""
+    return F.coalesce(F.round(F.try_divide(F.round(total * 1_000_000), n)) / F.lit(1_000_000.0), F.lit(0.0))
+
+
 def token_count(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FAILED, FINISHED
-from ..functions.usage import exact_sum, rate, status_text
+from ..functions.usage import cost_per, exact_sum, rate, status_text
 from . import running
 
 PLACES = 6
@@ -50,8 +50,8 @@ def scrape_costs(scrapes: DataFrame) -> DataFrame:
     return scrapes.agg(
         _money(exact_sum(cost)).alias("total_cost"),
         _money(exact_sum(paid)).alias("successful_scrapes_cost"),
-        _money(F.try_divide(exact_sum(cost), F.count(cost))).alias("avg_cost_per_scrape"),
-        _money(F.try_divide(exact_sum(paid), F.count(paid))).alias("avg_cost_per_successful"),
+        cost_per(exact_sum(cost), F.count(cost)).alias("avg_cost_per_scrape"),
+        cost_per(exact_sum(paid), F.count(paid)).alias("avg_cost_per_successful"),
     )
 
 
@@ -78,8 +78,8 @@ def scrape_cost_analysis(scrapes: DataFrame, by: tuple[str, ...] = ()) -> DataFr
         "failed_scrapes",
         "total_urls",
         F.round(rate(F.col("successful_scrapes"), F.col("total_urls")), PLACES).alias("success_rate"),
-        F.round(rate(F.col("_cost"), F.col("total_urls")), PLACES).alias("avg_cost_per_url"),
-        F.round(rate(F.col("_cost"), F.col("successful_scrapes")), PLACES).alias("avg_cost_per_success"),
+        cost_per(F.col("_cost"), F.col("total_urls")).alias("avg_cost_per_url"),
+        cost_per(F.col("_cost"), F.col("successful_scrapes")).alias("avg_cost_per_success"),
         "total_characters",
         F.round(rate(F.col("total_characters"), F.col("successful_scrapes")), PLACES).alias("avg_chars_per_success"),
         "most_expensive_url",
@@ -153,7 +153,7 @@ def run_metrics(events: DataFrame) -> DataFrame:
         F.round("scrape", PLACES).alias("scrape_cost"),
         F.round("extraction", PLACES).alias("extraction_cost"),
         F.round(total, PLACES).alias("total_cost"),
-        F.round(rate(total, F.col("successful_extractions")), PLACES).alias("cost_per_successful_extraction"),
+        cost_per(total, F.col("successful_extractions")).alias("cost_per_successful_extraction"),
     )
 
 
@@ -165,7 +165,7 @@ def cost_extremes(events: DataFrame, threshold: float) -> DataFrame:
         F.min_by("url", F.struct(-F.col("cost"), F.col("url"))).alias("most_expensive_url"),
         F.min(F.when(extracted, F.col("cost"))).alias("cheapest_successful_extraction"),
         (F.round(total, PLACES) > threshold).alias("cost_threshold_exceeded"),
-        F.round(rate(total, F.count_if(extracted)), PLACES).alias("cost_per_result"),
+        cost_per(total, F.count_if(extracted)).alias("cost_per_result"),
     )
 
 
