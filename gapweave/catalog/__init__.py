@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["projections", "relations", "extraction"]
+AREAS = ["projections", "relations", "extraction", "storage"]
 
 
 def _catalogs():

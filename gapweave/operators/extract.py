@@ -109,19 +109,19 @@ def context_rows(pages: DataFrame, fields: list[Field], radius: int, body: str =
     """Every block with its section, and whether its neighbours or its section hold a hit."""
     rows = _marked(pages, body, [words_of(fields)])
     blocks = F.col("_blocks0")
-    in_section = F.flatten(
-        F.transform("_sections0", lambda s: F.transform(s, lambda _: _has_hit(s)))
-    )
-    rows = rows.select("url", "_blocks0", in_section.alias("_in"))
-    cells = F.transform(
+    near = F.transform(
         blocks,
         lambda b, i: F.struct(
-            b["section"].alias("section"),
-            b["hit"].alias("hit"),
-            near_hit(blocks, i, radius).alias("near_hit"),
-            F.get("_in", i).alias("section_hit"),
+            b["section"].alias("section"), b["hit"].alias("hit"), near_hit(blocks, i, radius).alias("near_hit")
         ),
     )
+    # each section is judged once and the answer repeated for its blocks
+    in_section = F.flatten(F.transform("_sections0", lambda s: F.array_repeat(_has_hit(s), F.size(s))))
+    cells = F.zip_with(
+        near,
+        in_section,
+        lambda b, h: F.struct(b["section"].alias("section"), b["hit"].alias("hit"), b["near_hit"].alias("near_hit"), h.alias("section_hit")),
+    )
     return rows.select("url", F.posexplode(cells).alias("pos", "c")).select("url", "pos", "c.*")
 
 
@@ -161,7 +161,7 @@ def parsed(fields: list[Field], text: Column, page: Column) -> Column:
         found = F.regexp_extract_all(page if f.on_page else text, F.lit(f.pattern), F.lit(1))
         if f.validator:
             found = F.filter(found, lambda v: v.rlike(f.validator))
-        return F.when(F.size(found) > 0, found)
+        return F.nullif(found, F.array().cast("array<string>"))
 
     return F.create_map(*[c for f in fields for c in (F.lit(f.name), values(f))])
 
