@@ -198,18 +198,17 @@ def _values_text(values: str) -> Column:
     return F.array_join(F.flatten(F.transform(F.map_values(values), lambda v: F.coalesce(v, empty))), "\n")
 
 
-def extract(scrapes: DataFrame, fields: list[Field], config: RunConfig) -> DataFrame:
-    """Extraction of every extractable page; one row each, failed or not.
+def with_content(rows: DataFrame, fields: list[Field], config: RunConfig) -> DataFrame:
+    """Add what was extracted from ``data``; rows without data find nothing.
 
-    Runs the same on a batch and on a stream: projections and filters only.
+    Runs the same on a batch and on a stream: projections only.
     """
     strategy = known_strategy(config.strategy)
-    rows = fetch.extractable(scrapes)
     rows = fetch.reduce_long(fetch.trim_long(rows, config.trim_chars), config.reduce_above)
     rows = _marked(rows, "data", [words_of(fields)])
     rows = rows.withColumn("filtered", filtered_text(strategy))
     rows = rows.withColumn("content", parsed(fields, F.col("filtered"), F.col("data")))
-    found = F.exists(F.map_values("content"), lambda v: v.isNotNull())
+    found = F.coalesce(F.exists(F.map_values("content"), lambda v: v.isNotNull()), F.lit(False))
 
     def stage(name, tokens_in, tokens_out):
         return F.struct(F.lit(name).alias("stage"), tokens_in.alias("input"), tokens_out.alias("output"))
@@ -218,20 +217,24 @@ def extract(scrapes: DataFrame, fields: list[Field], config: RunConfig) -> DataF
     stages = F.array(
         stage("filter", token_count(F.col("data")), kept), stage("parse", kept, token_count(_values_text("content")))
     )
-    return rows.select(
-        "entity_id",
-        "url",
-        found.alias("success"),
-        F.when(~found, F.lit(NOTHING_FOUND)).alias("error"),
-        "content",
-        "trimmed_to",
-        "reduced",
-        F.lit(strategy).alias("strategy"),
-        F.length("filtered").alias("filtered_chars"),
-        stages.alias("stage_tokens"),
+    return (
+        rows.withColumn("success", found)
+        .withColumn("error", F.when(~found, F.lit(NOTHING_FOUND)))
+        .withColumn("strategy", F.lit(strategy))
+        .withColumn("filtered_chars", F.length("filtered"))
+        .withColumn("stage_tokens", stages)
     )
 
 
+EXTRACT_COLUMNS = ["success", "error", "content", "trimmed_to", "reduced", "strategy", "filtered_chars", "stage_tokens"]
+
+
+def extract(scrapes: DataFrame, fields: list[Field], config: RunConfig) -> DataFrame:
+    """Extraction of every extractable page; one row each, failed or not."""
+    rows = fetch.extractable(scrapes).select("entity_id", "url", "data")
+    return with_content(rows, fields, config).select("entity_id", "url", *EXTRACT_COLUMNS)
+
+
 def value_rows(extracts: DataFrame) -> DataFrame:
     """Extracted values in long form, ready to be fused.
 

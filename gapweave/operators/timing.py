@@ -87,30 +87,41 @@ def phase_statistics(times: DataFrame) -> DataFrame:
     return one.select(F.inline("s")).filter(F.col("n") > 0)
 
 
-def slow_phases(statistics: DataFrame) -> DataFrame:
-    """Phases past their limit, how bad, and what to do."""
-    found = F.filter(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(p).alias("p"),
-                    F.lit(limit).alias("threshold"),
-                    F.lit(high).alias("high"),
-                    F.lit(advice).cast("string").alias("recommendation"),
-                )
-                for p, limit, high, advice in LIMITS
-            ]
-        ),
-        lambda x: x["p"] == F.col("phase"),
+def judged_phases(statistics: DataFrame) -> DataFrame:
+    """Each phase with its limit, how bad it is and what to do; nulls where all is well."""
+    limits = F.array(
+        *[
+            F.struct(
+                F.lit(p).alias("p"),
+                F.lit(limit).alias("threshold"),
+                F.lit(high).alias("high"),
+                F.lit(advice).cast("string").alias("recommendation"),
+            )
+            for p, limit, high, advice in LIMITS
+        ]
+    )
+    found = F.get(F.filter(limits, lambda x: x["p"] == F.col("phase")), F.lit(0))
+    rows = statistics.withColumn("limit", found)
+    slow = F.col("max") > F.col("limit.threshold")
+    level = F.when(F.col("max") > F.col("limit.high"), "high").otherwise("medium")
+    return (
+        rows.withColumn("threshold", F.when(slow, F.col("limit.threshold")))
+        .withColumn("concern_level", F.when(slow, level))
+        .withColumn("recommendation", F.when(slow, F.col("limit.recommendation")))
+        .drop("limit")
     )
-    rows = statistics.withColumn("limit", F.get(found, F.lit(0))).filter(F.col("max") > F.col("limit.threshold"))
-    return rows.select(
+
+
+def slow_phases(statistics: DataFrame) -> DataFrame:
+    """Only the phases past their limit."""
+    slow = judged_phases(statistics).filter(F.col("concern_level").isNotNull())
+    return slow.select(
         "phase",
         F.col("max").alias("max_duration"),
         F.col("avg").alias("avg_duration"),
-        F.col("limit.threshold").alias("threshold"),
-        F.when(F.col("max") > F.col("limit.high"), "high").otherwise("medium").alias("concern_level"),
-        F.col("limit.recommendation").alias("recommendation"),
+        "threshold",
+        "concern_level",
+        "recommendation",
     )
 
 
