@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["projections", "relations", "extraction", "storage", "jobs"]
+AREAS = ["projections", "relations", "extraction", "storage", "jobs", "streams"]
 
 
 def _catalogs():

@@ -79,7 +79,7 @@ def main(argv):
     for name, fn in entry.queries().items():
         if only and not any(name.startswith(o) for o in only):
             continue
-        t = time.time()
+        t, got = time.time(), ([], [])
         try:
             got = spark_result(fn(spark, folder))
             secs = time.time() - t
