@@ -300,8 +300,8 @@ COUNTERS = """(SELECT run_id,
     CASE run_id % 6 WHEN 0 THEN 'initializing' WHEN 1 THEN 'finished' WHEN 2 THEN 'failed'
          WHEN 3 THEN 'cancelled' WHEN 4 THEN 'running' ELSE 'paused' END AS status,
     run_id % 8 <> 4 AS serp_completed,
-    round(sum(cost), 6) AS total_cost,
-    (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS seconds
+    (sum(CAST(round(cost * 1000000) AS BIGINT))::BIGINT + 500) // 1000 AS thousandths,
+    (epoch_us(max(ts)) - epoch_us(min(ts)) + 50000) // 100000 AS tenths
   FROM run_events GROUP BY run_id)"""
 STATUS = """CASE WHEN status = 'initializing' THEN 'Initializing pipeline...'
     WHEN status = 'running' AND NOT serp_completed THEN 'Searching for URLs...'
@@ -332,8 +332,8 @@ def p18(spark, folder):
 
 @add(
     "p19_live_summary",
-    f"""SELECT run_id, 'run ' || run_id || ' | ' || {STATUS} || ' | ' || CAST(CAST(seconds AS DECIMAL(18,1)) AS VARCHAR)
-        || 's | $' || CAST(CAST(total_cost AS DECIMAL(18,3)) AS VARCHAR) AS summary FROM {COUNTERS}""",
+    f"""SELECT run_id, 'run ' || run_id || ' | ' || {STATUS} || ' | ' || (tenths // 10) || '.' || (tenths % 10)
+        || 's | $' || (thousandths // 1000) || '.' || lpad((thousandths % 1000)::VARCHAR, 3, '0') AS summary FROM {COUNTERS}""",
     "run_events",
 )
 def p19(spark, folder):

@@ -236,8 +236,8 @@ def _stages(spark, folder):
 
 @add(
     "a6_stage_time_statistics",
-    f"""SELECT run_id, round(avg(s), 6) AS avg_scrape_time, min(s) AS min_scrape_time, max(s) AS max_scrape_time,
-        coalesce(round(stddev_samp(s), 6), 0) AS std_scrape_time, round(avg(x), 6) AS avg_extract_time, min(x) AS min_extract_time,
+    f"""SELECT run_id, round(avg(s * 1e6)) / 1e6 AS avg_scrape_time, min(s) AS min_scrape_time, max(s) AS max_scrape_time,
+        coalesce(round(stddev_samp(s), 6), 0) AS std_scrape_time, round(avg(x * 1e6)) / 1e6 AS avg_extract_time, min(x) AS min_extract_time,
         max(x) AS max_extract_time, coalesce(round(stddev_samp(x), 6), 0) AS std_extract_time
         FROM (SELECT run_id, step * 4 / 1e6 AS s, CASE WHEN extracted THEN step * 15 / 1e6 END AS x FROM {STAGE_TIMES_SQL}) GROUP BY run_id""",
 )
@@ -329,7 +329,7 @@ def a12_approx(spark, folder):
     f"""SELECT run_id, 1.0::DOUBLE AS scrape_success_rate,
         CASE WHEN bool_or(extracted) THEN 1.0::DOUBLE ELSE 0 END AS extract_success_rate,
         round(count(*) FILTER (extracted) / count(*)::DOUBLE, 6) AS overall_success_rate,
-        round(avg(step * 20 / 1e6) FILTER (extracted), 6) AS avg_url_processing_time,
+        round(avg(step * 20) FILTER (extracted)) / 1e6 AS avg_url_processing_time,
         min(step * 20 / 1e6) FILTER (extracted) AS fastest_url_time, max(step * 20 / 1e6) FILTER (extracted) AS slowest_url_time
         FROM {STAGE_TIMES_SQL} GROUP BY run_id""",
 )
@@ -341,7 +341,7 @@ def a13(spark, folder):
     "a14_overlap",
     f"""SELECT run_id, min(t0 + 5 * step) FILTER (extracted) < max(t0 + 4 * step) AS streaming_extraction,
         round((max(t0 + 4 * step) - min(t0 + 5 * step) FILTER (extracted)) / 1e6, 6) AS time_saved,
-        coalesce(round(avg(step / 1e6) FILTER (extracted), 6), 0) AS avg_delay
+        coalesce(round(avg(step) FILTER (extracted)) / 1e6, 0) AS avg_delay
         FROM {STAGE_TIMES_SQL} GROUP BY run_id HAVING bool_or(extracted)""",
 )
 def a14(spark, folder):
@@ -364,7 +364,7 @@ PHASES_SQL = """(VALUES ('request_to_snapshot', 1, false), ('snapshot_to_poll',
     ('parse_dequeue_to_convertstart', 1, true), ('parse_converttodict_duration', 1, true), ('parse_convertend_to_complete', 3, true),
     ('filter_total_time', 6, true), ('parse_total_time', 8, true), ('filter_to_parse_gap', 7, true)) p(phase, steps, late)"""
 PHASE_STATS = f"""(SELECT phase, count(*) AS n, min(steps * step / 1e6) AS min, max(steps * step / 1e6) AS max,
-    round(avg(steps * step / 1e6), 6) AS avg, round(stddev_samp(steps * step / 1e6), 6) AS std
+    round(avg(steps * step)) / 1e6 AS avg, round(stddev_samp(steps * step / 1e6), 6) AS std
     FROM {STAGE_TIMES_SQL}, {PHASES_SQL} WHERE extracted OR NOT late GROUP BY phase)"""
 
 

@@ -88,6 +88,23 @@ def _merge_last_wins(maps: Column) -> Column:
     )
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _normalise_list(items: Column) -> Column:
+    shapes = F.transform(items, lambda x: F.schema_of_variant(x))
+    all_objects = F.forall(shapes, lambda s: F.coalesce(s.startswith("OBJECT"), F.lit(False)))
+    numbered = F.map_from_entries(
+        F.transform(
+            items,
+            lambda x, i: F.struct(F.concat(F.lit("item_"), i.cast("string")).alias("key"), _as_text(x).alias("value")),
+        )
+    )
+    return F.when(all_objects, _merge_last_wins(F.transform(items, _object_map))).otherwise(numbered)
+
+
 def normalise(j: Column) -> Column:
     """Any JSON content as one ``map<string,string>``.
 
@@ -95,24 +112,18 @@ def normalise(j: Column) -> Column:
     empty list gives an empty map, other lists become ``item_0 …``, scalars
     ``{"value": x}``; JSON null, SQL null and text that is no JSON give null.
     """
-    kind = json_kind(j)
-    value = F.try_parse_json(j)
-    items = list_items(j)
-    all_objects = F.forall(
-        items, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
-    )
-    numbered = F.map_from_entries(
-        F.transform(
-            items,
-            lambda x, i: F.struct(F.concat(F.lit("item_"), i.cast("string")).alias("key"), _as_text(x).alias("value")),
+    first = F.substring(F.ltrim(j), 1, 1)
+
+    def by_kind(v):
+        items = F.try_variant_get(v, "$", "array<variant>")
+        return (
+            F.when(v.isNull() | (first == "n"), F.lit(None))
+            .when(first == "{", _object_map(v))
+            .when(first == "[", _let(items, _normalise_list))
+            .otherwise(F.create_map(F.lit("value"), _as_text(v)))
         )
-    )
-    return (
-        F.when(kind == "object", _object_map(value))
-        .when((kind == "list") & all_objects, _merge_last_wins(F.transform(items, _object_map)))
-        .when(kind == "list", numbered)
-        .when(kind.isin("string", "scalar"), F.create_map(F.lit("value"), _as_text(value)))
-    )
+
+    return _let(F.try_parse_json(j), by_kind)
 
 
 def row_count(j: Column) -> Column:

@@ -48,6 +48,12 @@ def seconds_between(start: str, end: str) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1_000_000.0)
 
 
+def average_seconds(start: str, end: str) -> Column:
+    """Average in whole microseconds, so that it does not depend on the order of rows."""
+    micros = F.unix_micros(end) - F.unix_micros(start)
+    return F.round(F.try_divide(F.sum(micros), F.count(micros))) / F.lit(1_000_000.0)
+
+
 def parse_instant(text: Column) -> Column:
     """ISO-8601 text, with ``Z`` or an offset, as timestamp; null if it is none."""
     return F.try_to_timestamp(text)
@@ -66,25 +72,15 @@ def phase_rows(times: DataFrame) -> DataFrame:
 
 
 def phase_statistics(times: DataFrame) -> DataFrame:
-    """Least, greatest, average and sample deviation of each phase.
-
-    Every phase is its own column of one aggregate over the wide rows, so rows
-    are not multiplied; the short result is unfolded afterwards.
-    """
-
-    def stats(name, a, b):
-        s = seconds_between(a, b)
-        return F.struct(
-            F.lit(name).alias("phase"),
-            F.count(s).alias("n"),
-            F.round(F.min(s), PLACES).alias("min"),
-            F.round(F.max(s), PLACES).alias("max"),
-            F.round(F.avg(s), PLACES).alias("avg"),
-            F.round(F.coalesce(F.stddev_samp(s), F.lit(0.0)), PLACES).alias("std"),
-        )
-
-    one = times.agg(F.array(*[stats(*p) for p in SCRAPE_PHASES + EXTRACT_PHASES]).alias("s"))
-    return one.select(F.inline("s")).filter(F.col("n") > 0)
+    """Least, greatest, average and sample deviation of each phase."""
+    micros = F.round(F.col("seconds") * 1_000_000).cast("long")
+    return phase_rows(times).groupBy("phase").agg(
+        F.count("*").alias("n"),
+        F.round(F.min("seconds"), PLACES).alias("min"),
+        F.round(F.max("seconds"), PLACES).alias("max"),
+        (F.round(F.sum(micros) / F.count("*")) / F.lit(1_000_000.0)).alias("avg"),
+        F.round(F.coalesce(F.stddev_samp("seconds"), F.lit(0.0)), PLACES).alias("std"),
+    )
 
 
 def judged_phases(statistics: DataFrame) -> DataFrame:
@@ -146,7 +142,7 @@ def streaming_metrics(stages: DataFrame) -> DataFrame:
         F.round(scraped / F.greatest(attempted, one), PLACES).alias("scrape_success_rate"),
         F.round(extracted / F.greatest(started, one), PLACES).alias("extract_success_rate"),
         F.round(extracted / F.greatest(F.count("*"), one), PLACES).alias("overall_success_rate"),
-        F.round(F.avg(took), PLACES).alias("avg_url_processing_time"),
+        average_seconds("scrape_start", "extract_end").alias("avg_url_processing_time"),
         F.round(F.min(took), PLACES).alias("fastest_url_time"),
         F.round(F.max(took), PLACES).alias("slowest_url_time"),
     )
@@ -154,17 +150,18 @@ def streaming_metrics(stages: DataFrame) -> DataFrame:
 
 def stage_time_statistics(stages: DataFrame) -> DataFrame:
     """Average, least, greatest and deviation of fetch and extraction times."""
-    scrape, extract = seconds_between("scrape_start", "scrape_end"), seconds_between("extract_start", "extract_end")
 
-    def four(name, s):
+    def four(name):
+        start, end = f"{name}_start", f"{name}_end"
+        s = seconds_between(start, end)
         return [
-            F.round(F.avg(s), PLACES).alias(f"avg_{name}_time"),
+            average_seconds(start, end).alias(f"avg_{name}_time"),
             F.round(F.min(s), PLACES).alias(f"min_{name}_time"),
             F.round(F.max(s), PLACES).alias(f"max_{name}_time"),
             F.round(F.coalesce(F.stddev_samp(s), F.lit(0.0)), PLACES).alias(f"std_{name}_time"),
         ]
 
-    return stages.groupBy("run_id").agg(*four("scrape", scrape), *four("extract", extract))
+    return stages.groupBy("run_id").agg(*four("scrape"), *four("extract"))
 
 
 def overlap(stages: DataFrame) -> DataFrame:
@@ -172,7 +169,7 @@ def overlap(stages: DataFrame) -> DataFrame:
     runs = stages.groupBy("run_id").agg(
         F.max("scrape_end").alias("last_scrape"),
         F.min("extract_start").alias("first_extract"),
-        F.round(F.avg(seconds_between("scrape_end", "extract_start")), PLACES).alias("avg_delay"),
+        average_seconds("scrape_end", "extract_start").alias("avg_delay"),
     )
     saved = seconds_between("first_extract", "last_scrape")
     return runs.filter(F.col("last_scrape").isNotNull() & F.col("first_extract").isNotNull()).select(

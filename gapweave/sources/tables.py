@@ -9,8 +9,23 @@ from ..config import Field
 from ..functions import urls
 
 
+# Tables whose rows carry long texts, so that work per row outweighs a shuffle.
+TEXT_TABLES = ("pages", "documents")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that has fewer splits than there are cores.
+
+    A small table is often one row group and would be worked on by one task.
+    Tables with enough splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def entities_from_names(df: DataFrame, id_col: str, name_col: str) -> DataFrame:

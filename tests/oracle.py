@@ -76,6 +76,10 @@ def main(argv):
     con = connect(folder)
     sql = entry.oracle_sql()
     bad = 0
+    # say what was really read, by either engine
+    seen = {t: con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("events", "pages", "documents")}
+    read = {t: spark.read.parquet(f"{folder}/{t}.parquet").count() for t in seen}
+    print(f"{folder} rows: sql {seen}, spark {read}", flush=True)
     for name, fn in entry.queries().items():
         if only and not any(name.startswith(o) for o in only):
             continue
