@@ -208,7 +208,7 @@ def a3_urls(spark, folder):
     "run_events",
 )
 def a4(spark, folder):
-    return metrics.run_metrics(shape(spark, folder, "run_events"))
+    return metrics.run_metrics(shape(spark, folder, "run_events")).drop("urls_failed", "created_at", "completed_at")
 
 
 @add(

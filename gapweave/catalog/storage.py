@@ -174,13 +174,9 @@ def s5(spark, folder):
 def run_tables(spark, folder):
     """The run events as a header per run and rows per link."""
     events = shape(spark, folder, "run_events")
-    times = events.groupBy("run_id").agg(F.min("ts").alias("created_at"), F.max("ts").alias("completed_at"))
-    failed = events.groupBy("run_id").agg(F.count_if(F.col("stage") == "failed").alias("urls_failed"))
     success = F.col("successful_extractions") > 0
     runs = (
         metrics.run_metrics(events)
-        .join(times, "run_id")
-        .join(failed, "run_id")
         .withColumn("query", F.concat(F.lit("run "), F.col("run_id").cast("string")))
         .withColumn("success", success)
         .withColumn("status", F.when(success, "finished").otherwise("failed"))

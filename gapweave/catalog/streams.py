@@ -91,7 +91,7 @@ def x4(spark, folder):
     events = streams.read_stream(
         spark, f"{folder}/events.parquet", tables.table(spark, folder, "events").schema
     ).select("event_id", "ts", F.col("event_type").alias("query"), (F.col("user_id") % 3).alias("top_k"))
-    streams.append_files(streams.first_requests(events), path)
+    streams.append_files(streams.first_requests(events, "event_id"), path)
     return spark.read.parquet(path).select("query", "top_k")
 
 

@@ -243,13 +243,10 @@ def value_rows(extracts: DataFrame) -> DataFrame:
     """
     # no filter on success: it would be pushed below the extraction and run it twice
     rows = extracts.select("entity_id", "url", F.explode("content").alias("field", "matches"))
-    counted = F.transform(
-        F.array_distinct("matches"),
-        lambda v: F.struct(
-            v.alias("value"), (F.size(F.filter("matches", lambda m: m == v)) / F.size("matches")).alias("confidence")
-        ),
-    )
-    return rows.filter(F.col("matches").isNotNull()).select("entity_id", "url", "field", F.inline(counted))
+    rows = rows.select("entity_id", "url", "field", F.size("matches").alias("n"), F.explode("matches").alias("value"))
+    # a page's matches are in one task, so they are counted before the shuffle
+    counted = rows.groupBy("entity_id", "url", "field", "value", "n").agg(F.count("*").alias("same"))
+    return counted.select("entity_id", "url", "field", "value", (F.col("same") / F.col("n")).alias("confidence"))
 
 
 # --- hand-over to outside models ------------------------------------------------------

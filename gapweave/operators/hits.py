@@ -80,23 +80,18 @@ def first_links(hits: DataFrame, n: int) -> DataFrame:
 def uncached_requests(requests: DataFrame, cache: DataFrame, seconds: int) -> DataFrame:
     """Requests with no answer cached during the last ``seconds``.
 
-    Time is cut to lifetime-wide slots: an answer can only serve requests of its
-    own slot and the next, so the join is on equal keys, and a query that is
-    asked very often is spread over its slots.
+    Requests and answers are put in one time order per query, and each request
+    looks back at the latest answer before it: work grows with their number, not
+    with the pairs of requests and answers of a popular query.
     """
-    micros = seconds * 1_000_000
-
-    def slot(c):
-        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / micros)
-
-    answers = cache.select("query", "top_k", "cached_at", F.explode(F.array(slot("cached_at"), slot("cached_at") + 1)).alias("_slot"))
-    asked = requests.withColumn("_slot", slot("ts"))
-    age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("cached_at").cast("timestamp"))
-    a, c = asked.alias("a"), answers.alias("c")
-    same = (
-        (F.col("a.query") == F.col("c.query"))
-        & (F.col("a.top_k") == F.col("c.top_k"))
-        & (F.col("a._slot") == F.col("c._slot"))
-        & age.between(0, micros)
+    keys = ["query", "top_k"]
+    asked = requests.withColumn("_cached", F.lit(None).cast("timestamp")).withColumn("_at", F.col("ts").cast("timestamp"))
+    known = cache.select(*keys, F.col("cached_at").cast("timestamp").alias("_cached"), F.col("cached_at").cast("timestamp").alias("_at"))
+    both = asked.withColumn("_is_request", F.lit(True)).unionByName(
+        known.withColumn("_is_request", F.lit(False)), allowMissingColumns=True
     )
-    return a.join(c, same, "left_anti").drop("_slot")
+    # at the same instant the answer comes first
+    done = running.running_max(both, keys, ["_at", "_is_request"], "_cached", running.time_slice("_at"), "_latest")
+    age = F.unix_micros("_at") - F.unix_micros("_latest")
+    fresh = F.coalesce(age <= seconds * 1_000_000, F.lit(False))
+    return done.filter(F.col("_is_request") & ~fresh).select(*requests.columns)

@@ -136,6 +136,9 @@ def run_metrics(events: DataFrame) -> DataFrame:
         n("found").alias("urls_found"),
         n("scraped").alias("successful_scrapes"),
         n("extracted").alias("successful_extractions"),
+        n("failed").alias("urls_failed"),
+        F.min("ts").alias("created_at"),
+        F.max("ts").alias("completed_at"),
         spent("found").alias("serp"),
         spent("scraped").alias("scrape"),
         spent("extracted").alias("extraction"),
@@ -146,6 +149,9 @@ def run_metrics(events: DataFrame) -> DataFrame:
         "urls_found",
         "successful_scrapes",
         "successful_extractions",
+        "urls_failed",
+        "created_at",
+        "completed_at",
         F.round(rate(F.col("successful_scrapes"), F.col("urls_found")), PLACES).alias("scrape_success_rate"),
         F.round(rate(F.col("successful_extractions"), F.col("successful_scrapes")), PLACES).alias("extraction_success_rate"),
         F.round(rate(F.col("successful_extractions"), F.col("urls_found")), PLACES).alias("overall_success_rate"),
@@ -217,18 +223,20 @@ def cost_breakdown(events: DataFrame) -> DataFrame:
 
 
 def running_cost(events: DataFrame, limit: float, slice_seconds: int = 60) -> DataFrame:
-    """Cumulative cost in time order and the first event past the budget."""
-    exact = events.withColumn("_cost", F.col("cost").cast("decimal(20,6)"))
-    done = running.running_sum(
-        exact, ["run_id"], ["ts", "url"], "_cost", running.time_slice("ts", slice_seconds), "_sum"
+    """Cumulative cost in time order and the first event past the budget, in
+    whole millionths so that the border does not depend on the order of sums."""
+    micros = F.round(F.col("cost") * 1_000_000).cast("long")
+    done = running.running_sums(
+        events, ["run_id"], ["ts", "url"], {"_sum": F.coalesce(micros, F.lit(0))}, running.time_slice("ts", slice_seconds)
     )
-    over = F.col("_sum") > F.lit(limit)
-    before = F.col("_sum") - F.col("_cost") > F.lit(limit)
+    border = round(limit * 1_000_000)
+    over = F.col("_sum") > border
+    before = F.col("_sum") - F.coalesce(micros, F.lit(0)) > border
     return (
-        done.withColumn("running_cost", F.col("_sum").cast("double"))
+        done.withColumn("running_cost", F.col("_sum") / F.lit(1_000_000.0))
         .withColumn("over_budget", over)
         .withColumn("is_cut", over & ~before)
-        .drop("_cost", "_sum")
+        .drop("_sum")
     )
 
 
@@ -241,20 +249,17 @@ def event_gaps(events: DataFrame, slice_seconds: int = 60) -> DataFrame:
 
 
 def cost_rank(scrapes: DataFrame) -> DataFrame:
-    """Position of each distinct cost, dearest first, with ties sharing it.
+    """Position of each link by cost, dearest first, with ties sharing it.
 
-    Costs are counted first; only the distinct values per entity are ordered.
+    Equal costs are counted first; the distinct ones are then accumulated in
+    slices of falling cost.
     """
-    cost = F.coalesce("cost", F.lit(0.0))
-    rows = scrapes.select("entity_id", "url", cost.alias("cost"))
+    rows = scrapes.select("entity_id", "url", F.coalesce("cost", F.lit(0.0)).alias("cost"))
     levels = rows.groupBy("entity_id", "cost").agg(F.count("*").alias("n"))
-    dearer = Window.partitionBy("entity_id").orderBy(F.desc("cost"))
-    ranks = levels.select(
-        "entity_id",
-        "cost",
-        F.dense_rank().over(dearer).alias("dense_rank"),
-        (F.coalesce(F.sum("n").over(dearer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("rank"),
-    )
+    falling = -running.quantile_slice(rows, "cost")
+    sums = {"dense_rank": F.lit(1).cast("long"), "upto": F.col("n")}
+    ranks = running.running_sums(levels, ["entity_id"], [F.desc("cost")], sums, falling)
+    ranks = ranks.select("entity_id", "cost", "dense_rank", (F.col("upto") - F.col("n") + 1).alias("rank"))
     return rows.join(ranks, ["entity_id", "cost"])
 
 

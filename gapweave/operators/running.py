@@ -2,7 +2,7 @@
 
 A plain window puts a whole group into one task.  Here each group is cut into
 consecutive slices by an expression that follows the order (a rank divided by a
-width, a time cut to the minute).  Slices are summarised with partial
+width, a time cut to the minute, a quantile).  Slices are summarised with partial
 aggregation, the short list of summaries is accumulated, and each slice then
 only needs its own rows plus what was carried in.  The carried join and the
 window inside a slice share one partitioning, so the rows are shuffled once.
@@ -24,45 +24,60 @@ def time_slice(ts: str, seconds: int = 60) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
 
 
-def _carried(rows: DataFrame, keys, summaries: dict[str, Column], carried: dict[str, Column]):
-    """Per slice, what the slices before it add up to."""
+def quantile_slice(rows: DataFrame, column: str, slices: int = 64) -> Column:
+    """Slices of about equal size for a number of unknown distribution.
+
+    The borders are a fixed short list on the driver, so every reader of the
+    slice sees the same ones.
+    """
+    borders = rows.approxQuantile(column, [i / slices for i in range(1, slices)], 0.5 / slices)
+    known = sorted(set(borders))
+    if not known:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in known]), lambda b: b < F.col(column)))
+
+
+def _with_carry(rows: DataFrame, keys, summaries: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+    """Rows with what the slices before theirs add up to."""
     totals = rows.groupBy(*keys, "_slice").agg(*[c.alias(n) for n, c in summaries.items()])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*keys, "_slice", *[c.over(before).alias(n) for n, c in carried.items()])
+    carry = totals.select(*keys, "_slice", *[c.over(before).alias(n) for n, c in carried.items()])
+    return rows.join(carry, [*keys, "_slice"])
 
 
-def running_sum(rows: DataFrame, keys: list[str], order: list, value: str, slices: Column, out: str) -> DataFrame:
-    """``out`` = sum of ``value`` up to and including the row."""
-    rows = rows.withColumn("_slice", slices)
-    carried = _carried(rows, keys, {"_part": F.sum(value)}, {"_carry": F.sum("_part")})
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.join(carried, [*keys, "_slice"])
-        .withColumn(out, F.coalesce("_carry", F.lit(0)) + F.sum(value).over(inside))
-        .drop("_slice", "_carry")
-    )
+def _inside(keys, order):
+    return Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def running_sums(rows: DataFrame, keys: list[str], order: list, sums: dict[str, Column], slices: Column) -> DataFrame:
+    """Each of ``sums`` up to and including the row."""
+    rows = rows.select("*", slices.alias("_slice"), *[v.alias(f"_v_{out}") for out, v in sums.items()])
+    parts = {f"_p_{out}": F.sum(f"_v_{out}") for out in sums}
+    carries = {f"_c_{out}": F.sum(f"_p_{out}") for out in sums}
+    done = _with_carry(rows, keys, parts, carries)
+    totals = {
+        out: F.coalesce(F.col(f"_c_{out}"), F.lit(0)) + F.sum(f"_v_{out}").over(_inside(keys, order)) for out in sums
+    }
+    return done.withColumns(totals).drop("_slice", *[f"_v_{o}" for o in sums], *carries)
 
 
 def row_numbers(rows: DataFrame, keys: list[str], order: list, slices: Column, out: str) -> DataFrame:
     """``out`` = 1, 2, 3 … per group without gaps."""
-    rows = rows.withColumn("_slice", slices)
-    carried = _carried(rows, keys, {"_part": F.count("*")}, {"_carry": F.sum("_part")})
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    return (
-        rows.join(carried, [*keys, "_slice"])
-        .withColumn(out, F.coalesce("_carry", F.lit(0)) + F.row_number().over(inside))
-        .drop("_slice", "_carry")
-    )
+    return running_sums(rows, keys, order, {out: F.lit(1).cast("long")}, slices)
 
 
 def previous_value(rows: DataFrame, keys: list[str], order: list[str], value: str, slices: Column, out: str) -> DataFrame:
     """``out`` = ``value`` of the row before, also across slice borders."""
     rows = rows.withColumn("_slice", slices)
     last = F.max_by(value, F.struct(*order))
-    carried = _carried(rows, keys, {"_last": last}, {"_carry": F.last("_last")})
+    done = _with_carry(rows, keys, {"_last": last}, {"_carry": F.last("_last")})
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    return (
-        rows.join(carried, [*keys, "_slice"])
-        .withColumn(out, F.coalesce(F.lag(value).over(inside), F.col("_carry")))
-        .drop("_slice", "_carry")
-    )
+    return done.withColumn(out, F.coalesce(F.lag(value).over(inside), F.col("_carry"))).drop("_slice", "_carry")
+
+
+def running_max(rows: DataFrame, keys: list[str], order: list, value: str, slices: Column, out: str) -> DataFrame:
+    """``out`` = greatest ``value`` up to and including the row; nulls do not count."""
+    rows = rows.withColumn("_slice", slices)
+    done = _with_carry(rows, keys, {"_most": F.max(value)}, {"_carry": F.max("_most")})
+    inside = F.max(value).over(_inside(keys, order))
+    return done.withColumn(out, F.greatest("_carry", inside)).drop("_slice", "_carry")

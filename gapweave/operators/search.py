@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html
+from ..session import hand_over
 from . import hits
 
 PLACES = 6
@@ -13,6 +14,12 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 NO_RESULTS = "no results"
 # Words of all queries together that may be broadcast (about 100 bytes each).
 MAX_BROADCAST_WORDS = 1_000_000
+# Pairs of query and posting up to which all are scored.
+DIRECT_PAIRS = 1_000_000_000
+SEED_WORDS = 3
+SLACK = 1e-4
+QUERY = ["entity_id", "channel"]
+PAIR = ["entity_id", "channel", "doc_id"]
 
 
 def words(text):
@@ -44,41 +51,90 @@ def _broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_WORDS else df
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best documents of each channel for every query.
+def postings(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(asked, postings)``: the words of each query, and how often each of them
+    occurs in each document.
 
-    The score is the sum of tf·idf over the query's distinct words, that is the
-    sum of idf over their occurrences.  Occurrences of query words are sent to
-    their document once; document frequency, the scores of all queries and the
-    first cut to ``k`` are then made without moving the pairs of query and
-    document, so what is shuffled grows with the text and not with the pairs.
-    Query words are counted first and broadcast only if they are few enough;
-    otherwise the same joins run shuffled.
+    The corpus is read and cut into words once.  Only occurrences of query words
+    go on, counted per document before they are shuffled, and the counts are
+    written for the steps that follow.
     """
     asked = queries.select("entity_id", F.explode(F.array_distinct(words(F.col("name")))).alias("word"))
     n_asked = asked.limit(MAX_BROADCAST_WORDS + 1).count()
     wanted = asked.select("word").distinct()
-    doc = ["channel", "doc_id"]
     found = (
-        corpus.select(*doc, F.explode(words(F.col("text"))).alias("word"))
+        # the empty word between two breaks is no query word and is dropped by the join
+        corpus.select("channel", "doc_id", F.explode(F.split(F.lower("text"), WORD_BREAK)).alias("word"))
         .join(_broadcast_if_small(wanted, n_asked), "word", "left_semi")
-        .repartition("doc_id")
+        .groupBy("channel", "doc_id", "word")
+        .agg(F.count("*").alias("tf"))
     )
-    n_docs = corpus.select("doc_id").distinct().agg(F.count("*").alias("n")).scalar()
-    frequency = found.distinct().groupBy("channel", "word").agg(F.count("*").alias("df"))
-    weights = frequency.select("channel", "word", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf"))
-    weighted = asked.join(weights, "word")
-    scores = (
-        found.join(_broadcast_if_small(weighted, n_asked), ["channel", "word"])
-        .groupBy("entity_id", *doc)
-        .agg(F.round(F.sum("idf"), PLACES).alias("score"))
+    return asked, hand_over(found)
+
+
+def search(queries: DataFrame, corpus: DataFrame, n_docs: int, k: int, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
+    """The ``k`` best documents of each channel for every query.
+
+    The score is the sum of tf·idf over the query's distinct words.  How many
+    pairs of query and posting there are is known from the document frequencies
+    before any pair is made: up to ``direct_pairs`` all are scored, beyond it
+    only those that can still reach the first ``k``.  Both give the same rows.
+    """
+    asked, found = postings(queries, corpus)
+    idf = F.log((F.lit(n_docs) + 1) / (F.col("df") + 1))
+    weights = found.groupBy("channel", "word").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
+    terms = hand_over(asked.join(weights.withColumn("idf", idf), "word"))
+    n_terms, n_pairs = terms.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    # one partitioning by document serves every join and sum below
+    found = found.repartition("doc_id")
+    if n_pairs <= direct_pairs:
+        pairs = found.join(_broadcast_if_small(terms, n_terms), ["channel", "word"])
+        scores = pairs.groupBy(*PAIR).agg(_score())
+    else:
+        scores = _scores_of(_candidates(found, terms, n_terms, k), found, terms)
+    return hits.top_k(scores, QUERY, [F.desc("score"), "doc_id"], k, "channel_rank")
+
+
+def _score():
+    return F.round(F.sum(F.col("tf") * F.col("idf")), PLACES).alias("score")
+
+
+def _scores_of(pairs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """Whole scores of given pairs, by looking up each word of the query."""
+    lookups = pairs.join(terms.select(*QUERY, "word", "idf"), QUERY).repartition("doc_id")
+    return lookups.join(found, ["channel", "doc_id", "word"]).groupBy(*PAIR).agg(_score())
+
+
+def _candidates(found: DataFrame, terms: DataFrame, n_terms: int, k: int) -> DataFrame:
+    """Pairs that may be among the ``k`` best; all others provably are not.
+
+    Documents that lead in a query's weightiest words are scored first; their
+    k-th score is a bound the answer reaches.  A document that holds each word of
+    the query less often than that word's maximum times (bound / sum of the
+    words' greatest contributions) stays below the bound, so frequent words only
+    bring in the documents that use them most.
+    """
+    greatest = F.col("idf") * F.col("max_tf")
+    weighty = hits.top_k(terms, QUERY, [F.desc(greatest), "word"], SEED_WORDS, "_r").select(*QUERY, "word")
+    leaders = hits.top_k(found, ["channel", "word"], [F.desc("tf"), "doc_id"], k, "_r").select("channel", "word", "doc_id")
+    seeds = _scores_of(weighty.join(leaders, ["channel", "word"]).select(*PAIR).distinct(), found, terms)
+    best = hits.top_k(seeds, QUERY, [F.desc("score"), "doc_id"], k, "_r")
+    reached = best.groupBy(*QUERY).agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
+    most = terms.groupBy(*QUERY).agg(F.sum(greatest).alias("most"))
+    # a little below the bound, so that rounding cannot let an excluded pair tie
+    share = F.greatest(F.coalesce(F.try_divide(F.col("bound") - SLACK, F.col("most")), F.lit(0.0)), F.lit(0.0))
+    limits = (
+        terms.join(most, QUERY)
+        .join(reached, QUERY, "left")
+        .select(*QUERY, "word", (share * F.col("max_tf")).alias("least_tf"))
     )
-    return hits.top_k(scores, ["entity_id", "channel"], [F.desc("score"), "doc_id"], k, "channel_rank")
+    enough = F.col("tf") >= F.col("least_tf")
+    return found.join(_broadcast_if_small(limits, n_terms), ["channel", "word"]).filter(enough).select(*PAIR).distinct()
 
 
 def search_pages(queries: DataFrame, pages: DataFrame, k: int) -> DataFrame:
     """Hits of both page channels with link and title."""
-    best = search(queries, page_corpus(pages), k)
+    best = search(queries, page_corpus(pages), pages.count(), k)
     order = F.when(F.col("channel") == "title", 0).otherwise(1)
     return page_names(pages).join(best, "doc_id").withColumn("channel_order", order)
 

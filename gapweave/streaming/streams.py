@@ -120,11 +120,16 @@ def windowed_metrics(events: DataFrame, width: str = "1 hour", slide: str | None
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_events", "cost", "success_rate")
 
 
-def first_requests(requests: DataFrame, lifetime: str = "1 hour") -> DataFrame:
-    """Requests not already made within the lifetime of a cached answer."""
-    return (
-        with_event_time(requests).withWatermark("ts", lifetime).dropDuplicatesWithinWatermark(["query", "top_k"])
-    )
+def first_requests(requests: DataFrame, unique: str, lifetime: str = "1 hour", salts: int = 32) -> DataFrame:
+    """Requests not already made within the lifetime of a cached answer.
+
+    A first pass per salt, made from the ``unique`` column, leaves at most
+    ``salts`` rows of a popular query for the pass that decides.
+    """
+    timed = with_event_time(requests).withWatermark("ts", lifetime)
+    salted = timed.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(salts)))
+    few = salted.dropDuplicatesWithinWatermark(["query", "top_k", "_salt"])
+    return few.dropDuplicatesWithinWatermark(["query", "top_k"]).drop("_salt")
 
 
 # --- run lifecycle ------------------------------------------------------------------------
@@ -141,37 +146,51 @@ def run_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour
     )
 
 
+PROGRESS = "run_id long, n_events long, extracted long, ts timestamp"
 STATE = "status string, n_events long, extracted long, last_micros long"
 TRANSITION = "run_id long, status string, n_events long, extracted long"
+TRANSITION_COLUMNS = ["run_id", "status", "n_events", "extracted"]
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """Events counted per run within each Arrow batch, so that a run with very
+    many of them sends a few rows on."""
+
+    def count(batches):
+        for rows in batches:
+            rows["hit"] = rows["stage"] == "extracted"
+            per = rows.groupby("run_id", as_index=False).agg(n_events=("hit", "size"), extracted=("hit", "sum"), ts=("ts", "max"))
+            yield per.astype({"extracted": "int64"})
+
+    return events.select("run_id", "stage", "ts").mapInPandas(count, PROGRESS)
 
 
 def lifecycle(events: DataFrame, timeout_ms: int = 30 * 60 * 1000, late: str = "1 hour") -> DataFrame:
     """Each run's state as it changes: initializing, running, finished, failed.
 
     A run finishes with its first extracted value and fails when nothing has
-    been heard of it for ``timeout_ms`` of event time.  Rows of a run come in
-    Arrow chunks that are counted and dropped, whatever their number.
+    been heard of it for ``timeout_ms`` of event time.
     """
 
     def step(key, chunks, state):
         status, n, extracted, last = state.get if state.exists else (INITIALIZING, 0, 0, 0)
         if state.hasTimedOut:
             state.remove()
-            if status not in (FINISHED, FAILED):
-                yield pd.DataFrame([(key[0], FAILED, n, extracted)], columns=["run_id", "status", "n_events", "extracted"])
+            if status != FINISHED:
+                yield pd.DataFrame([(key[0], FAILED, n, extracted)], columns=TRANSITION_COLUMNS)
             return
         for chunk in chunks:
-            n += len(chunk)
-            extracted += int((chunk["stage"] == "extracted").sum())
+            n += int(chunk["n_events"].sum())
+            extracted += int(chunk["extracted"].sum())
             last = max(last, int(chunk["micros"].max()))
         now = FINISHED if extracted else RUNNING
         state.update((now, n, extracted, last))
         due = last // 1000 + timeout_ms
         if due > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(due)
-        yield pd.DataFrame([(key[0], now, n, extracted)], columns=["run_id", "status", "n_events", "extracted"])
+        yield pd.DataFrame([(key[0], now, n, extracted)], columns=TRANSITION_COLUMNS)
 
-    timed = with_event_time(events).withWatermark("ts", late)
+    timed = progress(with_event_time(events)).withWatermark("ts", late)
     return (
         timed.withColumn("micros", F.unix_micros("ts"))
         .groupBy("run_id")
