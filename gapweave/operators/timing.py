@@ -55,8 +55,12 @@ def average_seconds(start: str, end: str) -> Column:
 
 
 def parse_instant(text: Column) -> Column:
-    """ISO-8601 text, with ``Z`` or an offset, as timestamp; null if it is none."""
-    return F.try_to_timestamp(text)
+    """ISO-8601 text, with ``Z`` or an offset, as timestamp; null if it is none.
+
+    Of a JSON list of instants the last one counts.
+    """
+    many = F.try_element_at(F.from_json(text, "array<string>"), F.lit(-1))
+    return F.try_to_timestamp(F.when(text.startswith("["), many).otherwise(text))
 
 
 def phase_rows(times: DataFrame) -> DataFrame:
