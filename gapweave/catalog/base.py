@@ -149,11 +149,16 @@ SHAPES = {
 }
 
 
+# shapes whose rows take long to work on, so that every core should get some
+HEAVY_SHAPES = ("contents",)
+
+
 def shape(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One derived input as a DataFrame."""
     text = re.sub(r"EACH\((.*?)\)", r"explode(array(\1))", SHAPES[name])
     used = {t: tables.table(spark, folder, t) for t in TABLES if "{" + t + "}" in text}
-    return spark.sql(text, **used)
+    df = spark.sql(text, **used)
+    return tables.spread(df) if name in HEAVY_SHAPES else df
 
 
 def shape_sql(name: str) -> str:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import MODE_FALLBACK, MODE_ONLY, FastPath, RunConfig
-from ..operators import extract, timing
+from ..operators import extract
 from ..plans import jobs
 from ..sources import tables
-from .base import STAGE_TIMES_SQL, Catalog, shape, stage_times
+from .base import Catalog, shape, stage_times
 from .extraction import (
     FIELDS,
     LABEL_WORDS,

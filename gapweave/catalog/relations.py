@@ -139,7 +139,7 @@ def j8(spark, folder):
     )
     requests = e.filter(F.col("query") != "purchase").select("event_id", "query", "top_k", "ts")
     cache = e.filter(F.col("value") > 60).select(F.col("ts").alias("cached_at"), "query", "top_k")
-    return hits.uncached_requests(requests, cache, 3600)
+    return hits.uncached_requests(requests, cache)
 
 
 # --- aggregates -------------------------------------------------------------------

@@ -64,7 +64,7 @@ def vendor_texts(spark, folder):
         ).alias("pricing_per_quantity"),
         F.array("p_type", "p_name").alias("categories"),
     )
-    return p.select(F.to_json(row).alias("value"))
+    return tables.spread(p.select(F.to_json(row).alias("value")))
 
 
 def vendor_rows(spark, folder):

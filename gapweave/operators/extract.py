@@ -58,7 +58,7 @@ def matching_fields(blocks: DataFrame, fields: list[Field]) -> DataFrame:
     return blocks.select("url", "pos", F.explode(found).alias("field"))
 
 
-def _marked(rows: DataFrame, body: str, groups: list[list[str]]) -> DataFrame:
+def mark_blocks(rows: DataFrame, body: str, groups: list[list[str]]) -> DataFrame:
     """Cut the body once; for each list of words add ``_sections<i>``, an
     ``array<array<struct<section,block,hit>>>``, and ``_blocks<i>``, its flat form.
 
@@ -107,7 +107,7 @@ def filtered_text(strategy: str, group: int = 0) -> Column:
 
 def context_rows(pages: DataFrame, fields: list[Field], radius: int, body: str = "html") -> DataFrame:
     """Every block with its section, and whether its neighbours or its section hold a hit."""
-    rows = _marked(pages, body, [words_of(fields)])
+    rows = mark_blocks(pages, body, [words_of(fields)])
     blocks = F.col("_blocks0")
     near = F.transform(
         blocks,
@@ -137,7 +137,7 @@ def filter_pages(
     Blocks are cut once per page however many strategies and fields are asked for.
     """
     groups = [(f.name, list(f.search_words)) for f in fields] if separately else [("(all)", words_of(fields))]
-    rows = _marked(pages, body, [words for _, words in groups])
+    rows = mark_blocks(pages, body, [words for _, words in groups])
     cells = [
         F.struct(F.lit(name).alias("field"), F.lit(s).alias("strategy"), filtered_text(s, i).alias("filtered"))
         for i, (name, _) in enumerate(groups)
@@ -205,7 +205,7 @@ def with_content(rows: DataFrame, fields: list[Field], config: RunConfig) -> Dat
     """
     strategy = known_strategy(config.strategy)
     rows = fetch.reduce_long(fetch.trim_long(rows, config.trim_chars), config.reduce_above)
-    rows = _marked(rows, "data", [words_of(fields)])
+    rows = mark_blocks(rows, "data", [words_of(fields)])
     rows = rows.withColumn("filtered", filtered_text(strategy))
     rows = rows.withColumn("content", parsed(fields, F.col("filtered"), F.col("data")))
     found = F.coalesce(F.exists(F.map_values("content"), lambda v: v.isNotNull()), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import MIN_LINKS_FETCHED
+from ..config import MIN_LINKS_FETCHED, SEARCH_CACHE_SECONDS
 from ..functions import urls
 from . import running
 
@@ -77,7 +77,7 @@ def first_links(hits: DataFrame, n: int) -> DataFrame:
     return hits.orderBy("channel_rank", "channel_order", "entity_id").limit(n)
 
 
-def uncached_requests(requests: DataFrame, cache: DataFrame, seconds: int) -> DataFrame:
+def uncached_requests(requests: DataFrame, cache: DataFrame, seconds: int = SEARCH_CACHE_SECONDS) -> DataFrame:
     """Requests with no answer cached during the last ``seconds``.
 
     Requests and answers are put in one time order per query, and each request

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Field
 from ..functions import urls
 
 
@@ -65,20 +64,6 @@ def convert_fields(fields):
     )
 
 
-def fields_literal(fields: list[Field]):
-    """A list of wanted fields as an array column, so no join is needed."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(f.name).alias("name"),
-                F.lit(f.desc).alias("desc"),
-                F.lit(f.example).cast("string").alias("example"),
-            )
-            for f in fields
-        ]
-    )
-
-
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
     """HTML files, one row each, with the file name as link."""
     return spark.read.text(path, wholetext=True).select(
