@@ -8,6 +8,7 @@ from ..config import MODE_FALLBACK, MODE_ONLY, FastPath, RunConfig
 from ..operators import extract
 from ..plans import jobs
 from ..sources import tables
+from ..streaming import streams
 from .base import Catalog, shape, stage_times
 from .extraction import (
     FIELDS,
@@ -88,6 +89,13 @@ def job1(spark, folder):
     return _run(spark, folder).values
 
 
+@add("job2_impute_stream", catalog.oracles["job1_impute_batch"])
+def job2(spark, folder):
+    pages = tables.table(spark, folder, "pages")
+    arriving = streams.read_stream(spark, f"{folder}/pages.parquet", pages.schema)
+    return jobs.impute_stream(_passages(spark, folder), FIELDS, pages, arriving, CONFIG).values
+
+
 @add(
     "job8_run_summary",
     f"""WITH+ {PICKED}, {EXTRACT_PAGES}, ok AS (SELECT DISTINCT url FROM v WHERE value IS NOT NULL),

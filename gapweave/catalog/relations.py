@@ -161,11 +161,13 @@ def a1(spark, folder):
     "a2_scrape_costs",
     """SELECT round(sum(cost), 6) AS total_cost, round(sum(cost) FILTER (success), 6) AS successful_scrapes_cost,
        round(round(sum(cost) * 1e6) / count(cost)) / 1e6 AS avg_cost_per_scrape,
-       round(round(sum(cost) FILTER (success) * 1e6) / count(cost) FILTER (success)) / 1e6 AS avg_cost_per_successful FROM scrapes""",
+       round(round(sum(cost) FILTER (success) * 1e6) / count(cost) FILTER (success)) / 1e6 AS avg_cost_per_successful,
+       'Scraping cost: $' || (t // 10000) || '.' || lpad((t % 10000)::VARCHAR, 4, '0') AS summary
+       FROM scrapes, (SELECT (sum(CAST(round(cost * 1000000) AS BIGINT))::BIGINT + 50) // 100 AS t FROM scrapes) GROUP BY t""",
     "scrapes",
 )
 def a2(spark, folder):
-    return metrics.scrape_costs(shape(spark, folder, "scrapes"))
+    return metrics.scrape_cost_text(metrics.scrape_costs(shape(spark, folder, "scrapes")))
 
 
 ANALYSIS = """round(sum(c), 6) AS total_cost, count(*) FILTER (status = 'ready') AS successful_scrapes,

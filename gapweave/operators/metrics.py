@@ -55,6 +55,12 @@ def scrape_costs(scrapes: DataFrame) -> DataFrame:
     )
 
 
+def scrape_cost_text(costs: DataFrame) -> DataFrame:
+    """The total in one line."""
+    total = F.col("total_cost").cast("decimal(18,4)").cast("string")
+    return costs.withColumn("summary", F.concat(F.lit("Scraping cost: $"), total))
+
+
 def scrape_cost_analysis(scrapes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts, rates and extremes; unknown costs count as 0."""
     cost = F.coalesce("cost", F.lit(0.0))

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..config import FAILED, FINISHED, MODE_DISABLED, MODE_ONLY, RUNNING, Field, RunConfig
 from ..functions import urls
 from ..operators import extract, fetch, gather, log, metrics, search, timing
-from ..session import hand_over
+from ..session import hand_over, scratch_dir
 from ..sources import tables
+from ..streaming import streams
 
 NO_RESULTS = "SERP failed: No results found"
 NO_SCRAPES = "No successful scrapes"
@@ -106,6 +107,28 @@ def impute_batch(entities: DataFrame, fields: list[Field], pages: DataFrame, con
     return Run(links, results, fused_values(results, config), run_rows(entities, results))
 
 
+def impute_stream(
+    entities: DataFrame, fields: list[Field], pages: DataFrame, arriving: DataFrame, config: RunConfig
+) -> Run:
+    """As ``impute_batch``, but pages are extracted as they arrive.
+
+    Links are searched in the pages known so far; ``arriving`` is a stream of
+    fetched pages.  Its results are appended file by file, and everything behind
+    them is the batch code, so a restart goes on where the stream stopped.
+    """
+    found = search.search_links(
+        queries_of(entities), pages, config.top_k, config.interleave, config.deduplicate
+    )
+    links = hand_over(found.select("entity_id", F.col("link").alias("url"), "channel", "pos"))
+    asked = arriving.join(links.select("url").distinct(), "url", "left_semi")
+    path = scratch_dir(pages.sparkSession)
+    done = page_results(asked, fields, config)
+    streams.append_files(done, path)
+    per_page = pages.sparkSession.read.schema(done.schema).parquet(path)
+    results = link_results(links, per_page)
+    return Run(links, results, fused_values(results, config), run_rows(entities, results))
+
+
 def fill_table(target: DataFrame, values: DataFrame, fields: list[str]) -> DataFrame:
     """Write fused values into the missing cells of a table, with their source."""
     return gather.impute(target, values, fields)
