@@ -262,9 +262,9 @@ def cost_rank(scrapes: DataFrame) -> DataFrame:
     """
     rows = scrapes.select("entity_id", "url", F.coalesce("cost", F.lit(0.0)).alias("cost"))
     levels = rows.groupBy("entity_id", "cost").agg(F.count("*").alias("n"))
-    falling = -running.quantile_slice(rows, "cost")
+    rising = running.quantile_slice(rows, "cost")
     sums = {"dense_rank": F.lit(1).cast("long"), "upto": F.col("n")}
-    ranks = running.running_sums(levels, ["entity_id"], [F.desc("cost")], sums, falling)
+    ranks = running.running_sums(levels, ["entity_id"], [F.desc("cost")], sums, lambda: -rising())
     ranks = ranks.select("entity_id", "cost", "dense_rank", (F.col("upto") - F.col("n") + 1).alias("rank"))
     return rows.join(ranks, ["entity_id", "cost"])
 

@@ -29,6 +29,15 @@ def skewed(spark):
     return rows, df.drop("second")
 
 
+@pytest.fixture(params=["no group is large", "some are", "too many to name"])
+def ways(request, monkeypatch):
+    """Every way the running values can be made, on small groups."""
+    if request.param != "no group is large":
+        monkeypatch.setattr(running, "GROUP_ROWS", 60 if request.param == "some are" else 3)
+    if request.param == "too many to name":
+        monkeypatch.setattr(running, "MAX_LARGE_GROUPS", 1)
+
+
 def by_run(rows):
     groups = defaultdict(list)
     for run, event, second, cost in rows:
@@ -37,7 +46,7 @@ def by_run(rows):
 
 
 @pytest.mark.parametrize("seconds", [1, 60, 100000])
-def test_running_cost_equals_brute_force(skewed, seconds):
+def test_running_cost_equals_brute_force(skewed, seconds, ways):
     rows, df = skewed
     want = {}
     for items in by_run(rows).values():
@@ -52,7 +61,7 @@ def test_running_cost_equals_brute_force(skewed, seconds):
 
 
 @pytest.mark.parametrize("seconds", [1, 600])
-def test_gaps_equal_brute_force(skewed, seconds):
+def test_gaps_equal_brute_force(skewed, seconds, ways):
     rows, df = skewed
     want = {}
     for items in by_run(rows).values():
@@ -63,13 +72,13 @@ def test_gaps_equal_brute_force(skewed, seconds):
     assert {r.event_id: r.gap_seconds for r in metrics.event_gaps(df, seconds).collect()} == want
 
 
-def test_row_numbers_over_many_slices(spark):
+def test_row_numbers_over_many_slices(spark, ways):
     df = spark.range(2000).select((F.col("id") % 2).alias("g"), (F.col("id") + 1).alias("rank"))
     done = running.row_numbers(df, ["g"], ["rank"], running.rank_slice("rank", 50), "pos").collect()
     assert all(r.pos == (r["rank"] + 1) // 2 if r.g == 0 else r.pos == r["rank"] // 2 for r in done)
 
 
-def test_cost_rank_equals_brute_force(skewed):
+def test_cost_rank_equals_brute_force(skewed, ways):
     rows, df = skewed
     got = {r.url: (r["rank"], r.dense_rank) for r in metrics.cost_rank(df.withColumnRenamed("run_id", "entity_id")).collect()}
     for items in by_run(rows).values():
@@ -79,7 +88,7 @@ def test_cost_rank_equals_brute_force(skewed):
             assert got[f"u{event:05d}"] == want
 
 
-def test_cached_answers_equal_brute_force(spark):
+def test_cached_answers_equal_brute_force(spark, ways):
     rng = random.Random(3)
     asked = [(i, "hot" if i % 3 else f"q{i % 7}", 10, rng.randrange(0, 40000)) for i in range(600)]
     known = [("hot" if i % 2 else f"q{i % 7}", 10, rng.randrange(0, 40000)) for i in range(40)]
