@@ -195,7 +195,7 @@ USABLE = """coalesce(success AND CASE WHEN data_kind = 'html' THEN length(j) >=
     WHEN json_type(j) = 'NULL' THEN false ELSE length(j) > 0 END, false)"""
 
 
-@add("p9_fast_path_size", f"SELECT event_id, coalesce({FAST_SIZE}, 0) AS size FROM contents", "contents")
+@add("p9_fast_path_size", f"SELECT event_id, coalesce({FAST_SIZE}, 0)::BIGINT AS size FROM contents", "contents")
 def p9(spark, folder):
     c = shape(spark, folder, "contents")
     return c.select("event_id", content.fast_path_size(F.col("j"), F.col("data_kind")).alias("size"))

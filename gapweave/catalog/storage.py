@@ -140,7 +140,7 @@ def v5(spark, folder):
 
 @add(
     "v6_result_counts",
-    """SELECT event_id, CASE t WHEN 'ARRAY' THEN json_array_length(g) WHEN 'OBJECT' THEN 1 ELSE 0 END AS row_count,
+    """SELECT event_id, CASE t WHEN 'ARRAY' THEN json_array_length(g) WHEN 'OBJECT' THEN 1 ELSE 0 END::BIGINT AS row_count,
        CASE t WHEN 'OBJECT' THEN len(json_keys(g)) WHEN 'ARRAY' THEN CASE WHEN json_type(g, '$[0]') = 'OBJECT' THEN len(json_keys(g, '$[0]')) ELSE 0 END
          ELSE 0 END AS field_count
        FROM (SELECT event_id, g, json_type(g) AS t FROM (SELECT event_id, CASE WHEN json_valid(j) THEN j END AS g FROM contents))""",

@@ -50,16 +50,19 @@ def usable_links(hits: DataFrame) -> DataFrame:
 
 
 def select_links(
-    hits: DataFrame, k: int, interleaved: bool = True, deduplicate: bool = True, fetch_min: int = MIN_LINKS_FETCHED
+    hits: DataFrame, k: int, interleaved: bool = True, deduplicate: bool = True, already_cut: bool = False
 ) -> DataFrame:
     """Links to fetch for each entity, in order.
 
     Each channel contributes its first ``max(k, 15)`` hits; they are mixed,
-    deduplicated, validated and cut to ``k``.  Bounded groups reach the later
-    steps, as the first cut leaves only so many rows per entity and channel.
+    deduplicated, validated and cut to ``k``.  After the first cut, which
+    ``already_cut`` leaves out, an entity has a bounded number of rows, so one
+    partitioning by entity serves all that follows.
     """
     _check_k(k)
-    hits = top_k(hits, ["entity_id", "channel"], ["channel_rank", "link"], max(k, fetch_min), "_r").drop("_r")
+    if not already_cut:
+        hits = top_k(hits, ["entity_id", "channel"], ["channel_rank", "link"], max(k, MIN_LINKS_FETCHED), "_r").drop("_r")
+    hits = hits.repartition("entity_id")
     order = ["channel_rank", "channel_order"] if interleaved else ["channel_order", "channel_rank"]
     hits = usable_links(hits).withColumn("_o", F.struct(*order, "link"))
     if deduplicate:

@@ -159,4 +159,4 @@ def search_result(queries: DataFrame, found: DataFrame) -> DataFrame:
 def search_links(queries: DataFrame, pages: DataFrame, k: int, interleaved: bool = True, deduplicate: bool = True):
     """Search only: the links to fetch, in order."""
     found = search_pages(queries, pages, max(k, hits.MIN_LINKS_FETCHED))
-    return hits.select_links(found, k, interleaved, deduplicate)
+    return hits.select_links(found, k, interleaved, deduplicate, already_cut=True)

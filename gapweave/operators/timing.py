@@ -71,8 +71,7 @@ def phase_rows(times: DataFrame) -> DataFrame:
             for name, a, b in SCRAPE_PHASES + EXTRACT_PHASES
         ]
     )
-    present = F.filter(phases, lambda p: p["seconds"].isNotNull())
-    return times.select("run_id", "url", F.inline(present))
+    return times.select("run_id", "url", F.inline(phases)).filter(F.col("seconds").isNotNull())
 
 
 def phase_statistics(times: DataFrame) -> DataFrame:

@@ -24,17 +24,14 @@ def connect(folder):
 
 
 def _value(v):
+    """The value with its kind: 1, 1.0 and "1" are different."""
     if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return float(f"{v:.10g}") + 0.0
-    if isinstance(v, bool):
-        return v
-    if hasattr(v, "as_tuple"):  # Decimal
-        return float(v)
-    if hasattr(v, "isoformat"):
-        return v.isoformat()
-    return v
+        return "nan" if math.isnan(v) else v + 0.0
+    return v.isoformat() if hasattr(v, "isoformat") else v
+
+
+def _kinds(row):
+    return tuple(None if v is None else type(v) for v in row)
 
 
 def _table(columns, rows):
@@ -59,7 +56,7 @@ def difference(a, b):
     if len(a[1]) != len(b[1]):
         return f"rows {len(a[1])} != {len(b[1])}; only spark {list(set(a[1]) - set(b[1]))[:2]}; only sql {list(set(b[1]) - set(a[1]))[:2]}"
     for x, y in zip(a[1], b[1]):
-        if x != y:
+        if x != y or _kinds(x) != _kinds(y):
             return f"\n  spark {x}\n  sql   {y}"
     return None
 
