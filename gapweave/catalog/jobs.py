@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..config import MODE_FALLBACK, MODE_ONLY, FastPath, RunConfig
-from ..operators import extract
+from ..operators import extract, log
 from ..plans import jobs
+from ..session import scratch_dir
 from ..sources import tables
 from ..streaming import streams
 from .base import Catalog, shape, stage_times
@@ -89,6 +93,42 @@ def job1(spark, folder):
     return _run(spark, folder).values
 
 
+LOGGED = """SELECT '{0}' AS log_table, entity_id AS run_id, count(*) AS n FROM {1} GROUP BY 2"""
+
+
+@add(
+    "job5_log_run",
+    f"""WITH+ {PICKED}, links AS (SELECT entity_id, link AS url FROM picked), {EXTRACT_PAGES},
+        {CONFIDENT.format(links='links')} {FUSED.format(good='good')},
+        valued AS (SELECT DISTINCT url FROM v WHERE value IS NOT NULL),
+        long AS (SELECT links.*, length(html) AS n FROM links JOIN pages USING (url)),
+        e AS (SELECT entity_id FROM passages UNION ALL SELECT entity_id + 1000000 FROM passages) """
+    + " UNION ALL ".join(
+        LOGGED.format(*x)
+        for x in (
+            ("runs", "e"),
+            ("hits", "links"),
+            ("scrapes", "links"),
+            ("extracts", "(SELECT * FROM long WHERE n >= 1000)"),
+            ("values", "fused"),
+            ("errors", "(SELECT * FROM long WHERE n < 1000 OR url NOT IN (SELECT url FROM valued))"),
+        )
+    ),
+    "passages",
+)
+def job5(spark, folder):
+    entities = _passages(spark, folder)
+    run = jobs.impute_batch(entities, FIELDS, tables.table(spark, folder, "pages"), CONFIG)
+    started = dt.datetime(2024, 1, 1, 12)
+    logged = jobs.log_tables(run, entities, FIELDS, started, started + dt.timedelta(minutes=5))
+    path = jobs.write_log(logged, scratch_dir(spark))
+    counts = [
+        t.groupBy("run_id").agg(F.count("*").alias("n")).withColumn("log_table", F.lit(name))
+        for name, t in jobs.read_log(spark, path, names=log.TABLES).items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
 @add("job2_impute_stream", catalog.oracles["job1_impute_batch"])
 def job2(spark, folder):
     pages = tables.table(spark, folder, "pages")

@@ -189,12 +189,12 @@ def run_tables(spark, folder):
         *link, (F.col("stage") == "scraped").alias("success"), day
     )
     extracts = events.filter(F.col("stage") == "extracted").select(*link, F.lit(True).alias("success"), day)
-    return log.run_records(runs, FIELDS), scrapes, extracts
+    return {log.RUNS: log.run_records(runs, FIELDS), log.SCRAPES: scrapes, log.EXTRACTS: extracts}
 
 
 def _logged(spark, folder, mode="test"):
     path = log.log_path(scratch_dir(spark), mode)
-    log.write_log(*run_tables(spark, folder), path)
+    log.write_log(run_tables(spark, folder), path)
     return path
 
 
@@ -208,7 +208,7 @@ RUN_SQL = f"""SELECT run_id, 'run ' || run_id AS query, {N.format('extracted')}
 
 @add("s6_write_log", f"{RUN_SQL}, CAST(min(ts) AS DATE) AS run_date, {len(FIELDS)} AS n_fields FROM run_events GROUP BY run_id", "run_events")
 def s6(spark, folder):
-    runs, _, _ = log.read_log(spark, _logged(spark, folder))
+    runs = log.read_log(spark, _logged(spark, folder))[log.RUNS]
     return runs.select(
         "run_id", "query", "success", "status",
         F.col("status_details.urls_found").alias("urls_found"),
@@ -229,14 +229,14 @@ def s6(spark, folder):
     "run_events",
 )
 def s7(spark, folder):
-    runs, scrapes, extracts = log.read_log(spark, _logged(spark, folder))
+    runs, scrapes, extracts = log.read_log(spark, _logged(spark, folder)).values()
     links = scrapes.withColumn("kind", F.lit("scrape")).unionByName(extracts.withColumn("kind", F.lit("extract")))
     return links.join(runs.select("run_id", "status"), "run_id").select("run_id", "kind", "url", "success", "cost", "status")
 
 
 @add("s8_export_runs", f"{RUN_SQL} FROM run_events GROUP BY run_id", "run_events")
 def s8(spark, folder):
-    lines = log.export_runs(run_tables(spark, folder)[0])
+    lines = log.export_runs(run_tables(spark, folder)[log.RUNS])
 
     def at(path, kind="string"):
         return F.get_json_object("record", path).cast(kind)
@@ -261,8 +261,8 @@ def s8(spark, folder):
     "run_events",
 )
 def s8_links(spark, folder):
-    _, scrapes, extracts = run_tables(spark, folder)
-    lines = log.export_links(scrapes, extracts)
+    done = run_tables(spark, folder)
+    lines = log.export_links(done[log.SCRAPES], done[log.EXTRACTS])
     return lines.select(
         "run_id",
         "kind",
@@ -282,7 +282,7 @@ def s9(spark, folder):
     parts = []
     for mode in ("prod", "test"):
         path = log.log_path(root, mode)
-        log.write_log(*tables_, path)
-        runs = log.read_log(spark, path)[0]
+        log.write_log(tables_, path)
+        runs = log.read_log(spark, path)[log.RUNS]
         parts.append(runs.agg(F.count("*").alias("n_runs")).withColumn("log_schema", F.lit(path.split("/")[-2])))
     return parts[0].unionByName(parts[1])

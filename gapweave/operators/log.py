@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import fetch
 
-RUNS, SCRAPES, EXTRACTS = "runs", "scrapes", "extracts"
+RUNS, HITS, SCRAPES, EXTRACTS, VALUES, ERRORS = TABLES = ("runs", "hits", "scrapes", "extracts", "values", "errors")
+COSTS = ("serp_cost", "scrape_cost", "extraction_cost", "cost_per_successful_extraction", "total_cost")
 SCHEMAS = {"prod": "production", "test": "test"}
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -44,7 +45,7 @@ def run_records(runs: DataFrame, fields) -> DataFrame:
             "urls_found", "successful_scrapes", "successful_extractions",
             "scrape_success_rate", "extraction_success_rate", "overall_success_rate",
         ).alias("performance"),
-        F.struct("serp_cost", "scrape_cost", "extraction_cost", "cost_per_successful_extraction", "total_cost").alias("costs"),
+        F.struct(*COSTS).alias("costs"),
         c("urls_failed").alias("errors"),
         "created_at",
         "completed_at",
@@ -52,22 +53,27 @@ def run_records(runs: DataFrame, fields) -> DataFrame:
     )
 
 
-def write_log(runs: DataFrame, scrapes: DataFrame, extracts: DataFrame, path: str, mode: str = "append") -> None:
-    """Append runs and their links.
+def write_log(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
+    """Append the tables of some runs; each has ``run_id`` and ``run_date``.
 
     The rebalance before each write merges small days and splits large ones,
     so neither tiny files nor one oversized task come out of a skewed day.
     """
-    for name, rows in ((RUNS, runs), (SCRAPES, scrapes), (EXTRACTS, extracts)):
+    unknown = set(tables) - set(TABLES)
+    if unknown:
+        raise ValueError(f"unknown log tables {sorted(unknown)}")
+    for name, rows in tables.items():
         rows.hint("rebalance", F.col("run_date")).write.mode(mode).partitionBy("run_date").parquet(f"{path}/{name}")
 
 
-def read_log(spark: SparkSession, path: str, run_id: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(runs, scrapes, extracts)`` of one run, or of all; a missing id gives no rows."""
-    tables = [spark.read.parquet(f"{path}/{name}") for name in (RUNS, SCRAPES, EXTRACTS)]
-    if run_id is not None:
-        tables = [t.filter(F.col("run_id") == run_id) for t in tables]
-    return tuple(tables)
+def read_log(
+    spark: SparkSession, path: str, run_id: int | None = None, names: tuple[str, ...] = (RUNS, SCRAPES, EXTRACTS)
+) -> dict[str, DataFrame]:
+    """The named tables for one run, or for all; a missing id gives no rows."""
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    if run_id is None:
+        return tables
+    return {name: t.filter(F.col("run_id") == run_id) for name, t in tables.items()}
 
 
 def export_runs(runs: DataFrame) -> DataFrame:

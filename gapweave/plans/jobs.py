@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import FAILED, FINISHED, MODE_DISABLED, MODE_ONLY, RUNNING, Field, RunConfig
 from ..functions import urls
+from ..functions.usage import rate
 from ..operators import extract, fetch, gather, log, metrics, search, timing
 from ..session import hand_over, scratch_dir
 from ..sources import tables
@@ -240,11 +241,51 @@ def host_profile(pages: DataFrame, fields: list[Field], min_chars: int) -> DataF
     return fused.join(sizes, "entity_id").withColumnRenamed("entity_id", "host")
 
 
-def write_log(spark: SparkSession, runs, scrapes, extracts, root: str, mode: str = "test") -> str:
+# --- run log -------------------------------------------------------------------------------
+
+
+def log_tables(run: Run, entities: DataFrame, fields: list[Field], started, finished) -> dict[str, DataFrame]:
+    """A finished run as log tables: bodies are left out, everything else is kept."""
+    day = F.lit(started).cast("date").alias("run_date")
+    as_run = F.col("entity_id").alias("run_id")
+    found, scraped, extracted = F.col("urls_found"), F.col("urls_scraped"), F.col("urls_extracted")
+    nothing = F.lit(0.0)
+    flat = (
+        run.runs.join(queries_of(entities).withColumnRenamed("name", "query"), "entity_id", "left")
+        .withColumn("run_id", F.col("entity_id"))
+        .withColumn("success", F.col("status") == FINISHED)
+        .withColumn("urls_failed", found - extracted)
+        .withColumn("successful_scrapes", scraped)
+        .withColumn("successful_extractions", extracted)
+        .withColumn("scrape_success_rate", rate(scraped, found))
+        .withColumn("extraction_success_rate", rate(extracted, scraped))
+        .withColumn("overall_success_rate", rate(extracted, found))
+        .withColumns({c: nothing for c in log.COSTS})
+        .withColumn("created_at", F.lit(started))
+        .withColumn("completed_at", F.lit(finished))
+    )
+    results = run.results
+    return {
+        log.RUNS: log.run_records(flat, fields),
+        log.HITS: run.links.select(as_run, "url", "channel", "pos", day),
+        log.SCRAPES: results.select(
+            as_run, "url", F.col("fetched").alias("success"), "status", urls.host(F.col("url")).alias("root_domain"),
+            F.coalesce("n_chars", F.lit(0)).alias("data_size"), "error", day,
+        ),
+        log.EXTRACTS: results.filter("passed").select(
+            as_run, "url", "success", F.to_json("content").alias("content"), "error", "stage_tokens", "strategy", "trimmed_to", day
+        ),
+        log.VALUES: run.values.select(as_run, "field", "value", "confidence", "votes", "source_url", day),
+        log.ERRORS: results.filter(F.col("error").isNotNull()).select(as_run, "url", F.col("error").alias("message"), day),
+    }
+
+
+def write_log(tables: dict[str, DataFrame], root: str, mode: str = "test") -> str:
+    """Append to the production or test log below ``root``; returns where it is."""
     path = log.log_path(root, mode)
-    log.write_log(runs, scrapes, extracts, path)
+    log.write_log(tables, path)
     return path
 
 
-def read_log(spark: SparkSession, path: str, run_id: int | None = None):
-    return log.read_log(spark, path, run_id)
+def read_log(spark: SparkSession, path: str, run_id: int | None = None, names=(log.RUNS, log.SCRAPES, log.EXTRACTS)):
+    return log.read_log(spark, path, run_id, names)

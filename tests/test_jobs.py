@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 import pytest
@@ -50,6 +51,14 @@ def test_impute_batch(spark, pages):
     assert (runs[2].status, runs[2].error) == ("failed", jobs.NO_EXTRACTS)
     assert (runs[3].status, runs[3].error, runs[3].urls_found) == ("failed", jobs.NO_RESULTS, 0)
     assert runs[4].status == "failed"
+    started = dt.datetime(2025, 5, 1)
+    logged = jobs.log_tables(run, entities, VOLTAGE, started, started)
+    path = jobs.write_log(logged, scratch_dir(spark))
+    back = jobs.read_log(spark, path, 1, log.TABLES)
+    assert [(r.query, r.status, r.status_details.urls_extracted) for r in back["runs"].collect()] == [("BAV99", "finished", 3)]
+    assert back["hits"].count() == 4 and [r.value for r in back["values"].collect()] == ["80V"]
+    assert [r.message.startswith("Scrape for https://p4") for r in back["errors"].collect()] == [True]
+    assert {json.loads(r.content)["voltage"][0] for r in back["extracts"].collect()} == {"75V", "80V"}
     target = spark.createDataFrame([(10, 1, None), (11, 1, "5V"), (12, 2, None)], "id long, entity_id long, voltage string")
     filled = {r.id: (r.voltage, r.voltage_source) for r in jobs.fill_table(target, run.values, ["voltage"]).collect()}
     assert filled == {10: ("80V", "https://p3.example.org/"), 11: ("5V", None), 12: (None, None)}
@@ -99,17 +108,20 @@ def test_budget_flow(spark):
 
 
 def test_log_round_trip(spark, folder):
-    runs, scrapes, extracts = storage.run_tables(spark, folder)
-    path = jobs.write_log(spark, runs, scrapes, extracts, scratch_dir(spark), "prod")
+    written = storage.run_tables(spark, folder)
+    runs, scrapes = written[log.RUNS], written[log.SCRAPES]
+    path = jobs.write_log(written, scratch_dir(spark), "prod")
     assert path.endswith("/production/run_log")
     some = runs.orderBy("run_id").first()
-    one, s, e = jobs.read_log(spark, path, some.run_id)
+    one, s, e = jobs.read_log(spark, path, some.run_id).values()
     back = one.first()
     assert back.performance == some.performance and back.costs == some.costs and back.created_at == some.created_at
     assert [f.name for f in back.schema] == [f.name for f in FIELDS]
     assert s.count() == scrapes.filter(F.col("run_id") == some.run_id).count()
     assert e.count() == back.performance.successful_extractions
-    assert all(t.count() == 0 for t in jobs.read_log(spark, path, -1))
+    assert all(t.count() == 0 for t in jobs.read_log(spark, path, -1).values())
+    with pytest.raises(ValueError):
+        log.write_log({"other": runs}, path)
     record = json.loads(log.export_runs(one).first().record)
     assert record["created_at"].startswith("2024-01-") and record["performance"]["urls_found"] == some.performance.urls_found
 
