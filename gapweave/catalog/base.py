@@ -33,6 +33,9 @@ SHAPES = {
         FROM {part}""",
     # passages to look up in a corpus
     "passages": "SELECT item_id AS entity_id, text AS name FROM {benchmark}",
+    # as many entities as there are pages, named by their titles
+    "titles": """
+        SELECT page_id AS entity_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS name FROM {pages}""",
     # links with every defect the validation knows
     "links": """
         SELECT page_id,

