@@ -2,11 +2,13 @@
 
 Everything that outlives one stage (streaming checkpoints, written hand-over
 tables) goes to the shared folder named by ``spark.checkpoint.dir``.  Only a
-local session without that setting gets a folder of its own.
+session whose driver and executors are one process (master ``local`` or
+``local[n]``) may do without that setting; it then gets a folder of its own.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,7 +30,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cores: int = 8, shuffle_partitions: int = 8, scratch: str | None = None) -> SparkSession:
     """A session for tests and the benchmark on one machine."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -37,6 +39,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -47,14 +51,12 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    A cluster must name a shared folder; only ``local`` masters fall back to one
-    on this machine, which is then remembered for the session.
+    A cluster must name a shared folder.  A single process, as in tests, gets a
+    folder on this machine, which is then remembered for the session.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gapweave.local.scratch", None)
     if not root:
-        root = spark.conf.get("gapweave.local.scratch", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="gapweave-")
         spark.conf.set("gapweave.local.scratch", root)

@@ -14,8 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     from gapweave.session import local_session
 
-    session = local_session(8, 4)
-    session.conf.set("gapweave.local.scratch", str(tmp_path_factory.mktemp("scratch")))
+    session = local_session(8, 4, str(tmp_path_factory.mktemp("scratch")))
     yield session
     session.stop()
 

@@ -6,8 +6,9 @@ import pytest
 from oracle import connect, difference, duck_result, spark_result
 
 import __spark_entry__ as entry
+from gapweave import catalog
 
-QUERIES = entry.queries()
+QUERIES = catalog.queries()
 SQL = entry.oracle_sql()
 
 
