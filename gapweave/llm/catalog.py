@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import postings, shards
+from . import postings, shards, simhash
 
 QUERIES = {
+    "op2_simhash_components": simhash.op2,
     "op5_balanced_shards": shards.op5,
     "op10_benchmark_leaks": postings.op10,
 }
