@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import postings, shards, simhash
+from . import bpe, postings, sequences, shards, simhash
 
 QUERIES = {
     "op2_simhash_components": simhash.op2,
     "op5_balanced_shards": shards.op5,
+    "op7_arrow_sequences": sequences.op7,
+    "op8_bpe_round_trip": bpe.op8,
     "op10_benchmark_leaks": postings.op10,
 }
 ORACLES = {
