@@ -124,9 +124,10 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     expected = agreed.join(ranked.select("window", "offset", "term", "rank"), "window").select(
         *where, "term", "rank", (F.col("start") + F.col("offset")).alias("pos")
     )
-    size = agreed.count() * 10
-    p = index.alias("p")
-    e = few(expected, size).alias("e")
+    # only documents with such a start matter from here on
+    open_docs = agreed.select("doc_id", "text_hash").distinct()
+    p, e, d = index.alias("p"), expected.alias("e"), few(open_docs, open_docs.count()).alias("d")
+    p = p.join(d, F.expr("p.doc_id <=> d.doc_id AND p.text_hash = d.text_hash"), "left_semi")
     same_place = F.expr("p.doc_id <=> e.doc_id AND p.text_hash = e.text_hash AND p.term = e.term AND p.pos = e.pos")
     return (
         p.join(e, same_place)
