@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, postings, sequences, shards, simhash
+from . import bpe, postings, sequences, shards, simhash, topk
 
 QUERIES = {
     "op2_simhash_components": simhash.op2,
+    "op3_threshold_topk": topk.op3,
     "op5_balanced_shards": shards.op5,
     "op7_arrow_sequences": sequences.op7,
     "op8_bpe_round_trip": bpe.op8,
     "op10_benchmark_leaks": postings.op10,
 }
 ORACLES = {
+    "op3_threshold_topk": topk.OP3_SQL,
     "op10_benchmark_leaks": postings.OP10_SQL,
 }
 
