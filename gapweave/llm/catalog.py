@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, postings, sequences, shards, simhash, topk
+from . import bpe, postings, quality, sequences, shards, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_neighbour_quality": quality.op1,
     "op2_simhash_components": simhash.op2,
     "op3_threshold_topk": topk.op3,
+    "op4_subsequence_toxicity": toxicity.op4,
     "op5_balanced_shards": shards.op5,
     "op7_arrow_sequences": sequences.op7,
     "op8_bpe_round_trip": bpe.op8,
