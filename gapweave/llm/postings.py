@@ -1,12 +1,13 @@
 """Benchmark passages in a corpus, found by a positional inverted index.
 
 The corpus is read once.  Every word that some benchmark item uses gives a
-posting ``(document, term, position)``; the postings are written to the shared
-folder.  A window is ``width`` consecutive words of an item (an item of fewer
+posting ``(document, term, position)`` with a short signature of either neighbour;
+the postings are written to the shared folder.  A window is ``width`` consecutive words of an item (an item of fewer
 words is one window).  For each window the terms that are rarest in the corpus
 are looked up: a posting at position p of a term that stands at offset o of the
-window speaks for a start at p - o, and only starts that all the rare terms
-agree on are checked against the remaining terms.
+window, with the window's neighbours beside it, speaks for a start at p - o, and
+only starts that all the rare terms agree on are checked against the remaining
+terms.
 
 Words are maximal runs of 0-9, a-z and all non-ASCII characters after A-Z has
 been lower-cased.  Null texts and texts without words have no words and no hits;
@@ -65,8 +66,13 @@ def all_bits(n) -> Column:
     return bit(n + 1) - 2
 
 
+def signature(word: Column) -> Column:
+    """Sixteen bits of a word, alike for all its spellings in upper and lower case."""
+    return (F.xxhash64(F.lower(word)).bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short")
+
+
 def build_index(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the postings ``doc_id, text_hash, term, pos`` of all terms in ``vocabulary(term)``."""
+    """Write the postings ``doc_id, text_hash, term, pos, before, after`` of all terms in ``vocabulary(term)``."""
     terms = vocabulary.select("term").union(docs.sparkSession.createDataFrame([(END,)], "term string")).distinct()
     known = hand_over(terms.select("term", F.lower("term").alias("key")))
     content = F.coalesce(F.col(text), F.lit(""))
@@ -79,6 +85,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id",
     rows = parts.select(
         "doc_id",
         "text_hash",
+        "parts",
         (F.size("parts") - 1).alias("_last"),
         F.when(F.element_at("parts", 1) == "", 1).otherwise(0).alias("_lead"),
         F.posexplode("parts").alias("_at", "_part"),
@@ -86,25 +93,41 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id",
     is_end = F.col("_at") == F.col("_last")
     keyed = rows.withColumn("key", F.when(is_end, "").when(F.col("_part") == "", None).otherwise(F.lower("_part")))
     # lower() also changes letters beyond A-Z; where there are any, compare exactly
+    at = F.col("_at")
+    keyed = keyed.withColumns({"before": signature(F.get("parts", at - 1)), "after": signature(F.get("parts", at + 1))})
     ascii = F.octet_length("_part") == F.length("_part")
     same = is_end | F.when(ascii, F.lower("_part") == F.col("term")).otherwise(fold("_part") == F.col("term"))
-    postings = keyed.join(few(known, known.count()), "key").filter(same)
-    return hand_over(postings.select("doc_id", "text_hash", "term", (F.col("_at") - F.col("_lead")).alias("pos")))
+    postings = keyed.drop("parts").join(few(known, known.count()), "key").filter(same)
+    return hand_over(postings.select("doc_id", "text_hash", "term", (at - F.col("_lead")).alias("pos"), "before", "after"))
 
 
 def _rank_terms(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """The terms of each window, ranked by how rare they are in the corpus."""
+    """The terms of each window with their neighbours' signatures, ranked by how rare they are in the corpus."""
     seen = index.groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
     terms = windows.select("window", "n", "offset", "term").distinct()
     rarity = Window.partitionBy("window").orderBy("seen", "offset")  # a window has at most ``width`` rows
     counted = terms.join(seen, "term", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-    return counted.withColumn("rank", F.row_number().over(rarity))
+    place = Window.partitionBy("window").orderBy("offset")
+    return counted.withColumns(
+        {
+            "rank": F.row_number().over(rarity),
+            "_before": signature(F.lag("term").over(place)),
+            "_after": signature(F.lead("term").over(place)),
+        }
+    ).withColumns({"_before": F.when(F.col("offset") > 0, F.col("_before")), "_after": F.when(F.col("offset") < F.col("n") - 1, F.col("_after"))})
 
 
-def _rare_starts(index: DataFrame, ranked: DataFrame) -> DataFrame:
-    """A row for each posting of a rare term: the start of the window that it speaks for."""
+def _rare_starts(index: DataFrame, ranked: DataFrame, beside: bool = True) -> DataFrame:
+    """A row for each posting of a rare term: the start of the window that it speaks for.
+
+    With ``beside`` the window's neighbours of the term must stand beside it.
+    """
     rare = ranked.filter(F.col("rank") <= RARE)
-    return index.join(few(rare, rare.count()), "term").select(
+    spoken = index.join(few(rare, rare.count()), "term")
+    if beside:
+        for own, wanted in (("before", "_before"), ("after", "_after")):
+            spoken = spoken.filter(F.col(wanted).isNull() | (F.col(own) == F.col(wanted)))
+    return spoken.select(
         "doc_id", "text_hash", "window", "n", "rank", (F.col("pos") - F.col("offset")).alias("start")
     )
 
@@ -145,7 +168,7 @@ def proximity_matches(index: DataFrame, windows: DataFrame, slop: int = 5) -> Da
     term speaks for, and how far apart the starts are (0 where the rare terms
     stand exactly as in the window).
     """
-    starts = _rare_starts(index, _rank_terms(index, windows))
+    starts = _rare_starts(index, _rank_terms(index, windows), beside=False)
     # any two starts within the slop share one of two overlapping bins
     binned = starts.withColumn("bin", F.explode(F.array(*[F.floor(F.col("start") / (slop + 1)) + i for i in (0, 1)])))
     return (
