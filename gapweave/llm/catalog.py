@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, postings, quality, sequences, shards, simhash, topk, toxicity
+from . import bpe, passages, postings, quality, sequences, shards, simhash, topk, toxicity
 
 QUERIES = {
     "op1_neighbour_quality": quality.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_balanced_shards": shards.op5,
     "op7_arrow_sequences": sequences.op7,
     "op8_bpe_round_trip": bpe.op8,
+    "op9_repeated_passages": passages.op9,
     "op10_benchmark_leaks": postings.op10,
 }
 ORACLES = {
