@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, passages, postings, quality, sequences, shards, simhash, topk, toxicity
+from . import bpe, passages, postings, quality, quotes, sequences, shards, simhash, topk, toxicity
 
 QUERIES = {
     "op1_neighbour_quality": quality.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_threshold_topk": topk.op3,
     "op4_subsequence_toxicity": toxicity.op4,
     "op5_balanced_shards": shards.op5,
+    "op6_quotation_threads": quotes.op6,
     "op7_arrow_sequences": sequences.op7,
     "op8_bpe_round_trip": bpe.op8,
     "op9_repeated_passages": passages.op9,
@@ -21,8 +22,14 @@ ORACLES = {
 }
 
 
+def _pipeline(spark, folder: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": _pipeline}
 
 
 def oracles() -> dict[str, str]:

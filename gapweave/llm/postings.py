@@ -225,6 +225,20 @@ def contamination(
     )
 
 
+def without_leaks(
+    docs: DataFrame, items: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` without the documents that hold a window of an item."""
+    prepare(docs.sparkSession)
+    windows = hand_over(item_windows(items, width))
+    index = build_index(docs, windows, doc_id, text)
+    found = hand_over(phrase_matches(index, windows).select("doc_id", "text_hash").distinct())
+    found = found.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+    known = docs.withColumn("_own", F.xxhash64(text))
+    met = known[doc_id].eqNullSafe(found["_doc"]) & (known["_own"] == found["_hash"])
+    return known.join(few(found, found.count()), met, "left_anti").select(*docs.columns)
+
+
 def op10(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     items = spark.read.parquet(f"{folder}/benchmark.parquet")

@@ -196,16 +196,17 @@ def held_out(doc_id, parts: int, part: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def fit_and_score(docs: DataFrame, folder_docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``score``, by a model learnt from the labelled rows of ``folder_docs`` that are not held out."""
-    model = fit(folder_docs, labels, lambda i: ~held_out(i, 4, 2))
-    return score(docs, model)
+def good_ones(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without those that score below ``THRESHOLD``."""
+    scored = score(docs, fit(docs, labels, lambda i: ~held_out(i, 4, 2)), into="_score")
+    return scored.filter(F.col("_score") >= THRESHOLD).select(*docs.columns)
 
 
 def op1(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    return fit_and_score(docs.select("doc_id", "text"), docs, labels).select(
+    model = fit(docs, labels, lambda i: ~held_out(i, 4, 2))
+    return score(docs.select("doc_id", "text"), model).select(
         "doc_id",
         held_out(F.col("doc_id"), 4, 2).alias("held_out"),
         "score",

@@ -149,17 +149,36 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, bits, component_id``, a row for each document."""
+    """``doc_id, tid, bits, component_id, root``, a row for each document.
+
+    ``tid`` is a hash of the text, ``root`` the least fingerprint of the component.
+    """
     prepare(docs.sparkSession)
-    printed = hand_over(docs.select(F.col(doc_id).alias("doc_id"), simhash(text).alias("bits")))
+    printed = hand_over(
+        docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tid"), simhash(text).alias("bits"))
+    )
     prints = hand_over(printed.groupBy("bits").agg(F.min("doc_id").alias("least")))
     roots = smallest_reachable(links(prints))
     rooted = prints.join(roots, prints["bits"] == roots["node"], "left").select(
         "bits", "least", F.coalesce("root", "bits").alias("root")
     )
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(components, "root").select("bits", "component_id")
-    return printed.join(named, "bits").select("doc_id", "bits", "component_id")
+    named = rooted.join(components, "root").select("bits", "component_id", "root")
+    return printed.join(named, "bits").select("doc_id", "tid", "bits", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one of least id (nulls last), then of least text hash."""
+    rows = hand_over(near_duplicates(docs, doc_id, text))
+    least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tid")).alias("c")
+    kept = hand_over(rows.groupBy("root").agg(least).select(F.col("c.doc_id").alias("_doc"), F.col("c.tid").alias("_tid")))
+    known = docs.withColumn("_own", F.xxhash64(text))
+    met = known[doc_id].eqNullSafe(kept["_doc"]) & (known["_own"] == kept["_tid"])
+    left = known.join(kept, met, "left_semi")
+    repeated = rows.groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.limit(1).count():  # rows equal in id and text
+        left = left.dropDuplicates([doc_id, "_own"])
+    return left.select(*docs.columns)
 
 
 def op2(spark, folder: str) -> DataFrame:
