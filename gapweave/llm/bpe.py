@@ -23,13 +23,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +40,14 @@ from .text import as_bytes, whole_groups
 PART = 2048
 # Bytes of a text that one task encodes on its own.
 LONG = 1 << 16
-# Remembered words: two generations of at most so many.
-REMEMBERED = 150_000
+# Remembered words, and as many stretches: two generations of at most so many.
+REMEMBERED = 250_000
 WORD_END = "</w>"
 
 # Fixed by the vocabulary file: its special tokens and its splitting rule, for lower-case Latin.
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 LATIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ſ]+")
+PLAIN_SIGN = re.compile(rb"[!-/:-@\[-`{-~]")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 
 
@@ -57,6 +58,27 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+class Memory(dict):
+    """Answers by key, of two generations of at most ``REMEMBERED``; a missing one is made."""
+
+    def __init__(self, make: Callable[[bytes], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
+
+
+def as_ids(numbers: Iterable[int]) -> bytes:
+    """Numbers as little-endian unsigned 32-bit integers."""
+    return np.fromiter(numbers, "<u4").tobytes()
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,15 +91,14 @@ class Encoder:
         self.token_bytes = [t.encode() for t in self.tokens]
         self.lengths = [len(t.removesuffix(WORD_END)) for t in self.tokens]
         self.signs = byte_signs()
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.stretches: dict[str, list[int]] = {}
+        self.model = self.library.model
+        self.words, self.stretches = Memory(self.word), Memory(self._stretch_bytes)
 
     # -- stretches: what the pre-tokenizer does not split, in the signs of the vocabulary
 
     def stretch(self, signs: str) -> list[int]:
         if len(signs) <= PART:
-            return [t.id for t in self.library.model.tokenize(signs)]
+            return [t.id for t in self.model.tokenize(signs)]
         half = len(signs) // 2
         return self.join(self.stretch(signs[:half]), self.stretch(signs[half:]))
 
@@ -89,7 +110,7 @@ class Encoder:
         while True:
             i, j = max(len(left) - reach, 0), min(reach, len(right))
             window = left[i:] + right[:j]
-            again = [t.id for t in self.library.model.tokenize("".join(self.tokens[t].removesuffix(WORD_END) for t in window))]
+            again = [t.id for t in self.model.tokenize("".join(self.tokens[t].removesuffix(WORD_END) for t in window))]
             if i == 0 or again[0] == left[i]:
                 if j == len(right):
                     return left[:i] + again
@@ -105,27 +126,15 @@ class Encoder:
                     at += self.lengths[t]
             reach *= 2
 
-    def _known_stretch(self, signs: str) -> list[int]:
-        ids = self.stretches.get(signs)
-        if ids is None:
-            ids = self.stretch(signs)
-            if len(signs) <= 64:
-                if len(self.stretches) >= REMEMBERED:
-                    self.stretches.clear()
-                self.stretches[signs] = ids
-        return ids
-
-    def signs_of(self, word: str) -> str:
-        return word.encode().decode("latin-1").translate(self.signs)
+    def _stretch_bytes(self, plain: bytes) -> bytes:
+        """The ids of an unsplit stretch given in UTF-8."""
+        signs = plain.decode("latin-1")
+        return as_ids(self.stretch(signs if plain.isascii() else signs.translate(self.signs)))
 
     # -- words: what stands between ASCII white space
 
     def stretches_of(self, word: str) -> Iterator[str | int]:
-        """The unsplit stretches of a word in their order; special tokens as their id."""
-        if LATIN.fullmatch(word) and "<|" not in word:
-            for part in SPLIT.findall(word.lower()):
-                yield self.signs_of(part)
-            return
+        """The unsplit stretches of a word in their order, in the signs of the vocabulary; special tokens as their id."""
         for n, part in enumerate(SPECIAL.split(word)):
             if n % 2:
                 yield self.library.token_to_id(part)
@@ -135,29 +144,21 @@ class Encoder:
                     yield signs
 
     def word(self, word: bytes) -> bytes:
-        ids: list[int] = []
-        for s in self.stretches_of(word.decode()):
-            ids.extend([s] if isinstance(s, int) else self._known_stretch(s))
-        return np.array(ids, "<u4").tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.young) + len(words) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        for w in words:
-            ids = self.old.get(w)
-            self.young[w] = self.word(w) if ids is None else ids
+        if word.isalpha() and word.islower():
+            return self.stretches[word]
+        if word[:-1].isalpha() and word[:-1].islower() and PLAIN_SIGN.fullmatch(word[-1:]):
+            return self.stretches[word[:-1]] + self.stretches[word[-1:]]
+        text = word.decode()
+        if LATIN.fullmatch(text) and "<|" not in text:
+            return b"".join([self.stretches[s.encode()] for s in SPLIT.findall(text.lower())])
+        return b"".join(as_ids([s] if isinstance(s, int) else self.stretch(s)) for s in self.stretches_of(text))
 
     def text(self, text: bytes | None) -> bytes:
         """The ids of a text, each as a little-endian unsigned 32-bit integer."""
         if not text:
             return b""
         words = (text if b"<|" in text else text.lower()).split()
-        out = []
-        for k in range(0, len(words), REMEMBERED):
-            block = words[k : k + REMEMBERED]
-            self._learn(set(block).difference(self.young))
-            out.extend(self.young[w] if w in self.young else self.word(w) for w in block)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, words))
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids in UTF-8; the file names no decoder, so tokens are joined by spaces."""
@@ -213,7 +214,7 @@ def tree(parts: list[tuple[bytes, bool]], enc: Encoder) -> bytes:
         level = run[:]
         while len(level) > 1:
             level = [enc.join(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        out.extend(np.array(ids, "<u4").tobytes() for ids in level)
+        out.extend(as_ids(ids) for ids in level)
         run.clear()
 
     for ids, goes_on in parts:
@@ -249,7 +250,7 @@ def _encode_pieces(path: str):
         enc = encoder(path)
         for f in frames:
             ids = [
-                np.array(enc.stretch(s), "<u4").tobytes() if p is None else enc.text(bytes(p))
+                as_ids(enc.stretch(s)) if p is None else enc.text(bytes(p))
                 for p, s in zip(f["piece"], f["stretch"])
             ]
             yield f[["row", "nr", "goes_on"]].assign(ids=ids)
@@ -279,13 +280,13 @@ def _encode_column(path: str):
     return ids.asNondeterministic()  # so that a filter behind it doesn't run it twice
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text in ``ids``, as little-endian unsigned 32-bit integers."""
-    prepare(docs.sparkSession)
-    path = path or default_path()
-    is_long = F.coalesce(F.octet_length(text) > LONG, F.lit(False))
-    short = docs.filter(~is_long).withColumn(ids, _encode_column(path)(F.col(text)))
-    long = hand_over(docs.filter(is_long).withColumn("_row", F.monotonically_increasing_id()))
+def _is_long(text: str) -> Column:
+    return F.coalesce(F.octet_length(text) > LONG, F.lit(False))
+
+
+def encode_long(docs: DataFrame, path: str, text: str, ids: str) -> DataFrame:
+    """``docs`` with ``ids``, each text cut into pieces that are encoded in parallel and joined."""
+    long = hand_over(docs.withColumn("_row", F.monotonically_increasing_id()))
     pieces = hand_over(
         long.select(F.col("_row").alias("row"), F.col(text).alias("text")).mapInArrow(
             _pieces(path), "row long, nr int, piece binary, stretch string, goes_on boolean"
@@ -300,7 +301,15 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     )
     # a long text without any word has no pieces
     back = long.drop(ids).join(joined.withColumnRenamed("ids", "_ids").withColumnRenamed("row", "_row"), "_row", "left")
-    return short.unionByName(back.withColumn(ids, F.coalesce("_ids", F.lit(b""))).drop("_row", "_ids"))
+    return back.withColumn(ids, F.coalesce("_ids", F.lit(b""))).drop("_row", "_ids")
+
+
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with the ids of each text in ``ids``, as little-endian unsigned 32-bit integers."""
+    prepare(docs.sparkSession)
+    path = path or default_path()
+    short = docs.filter(~_is_long(text)).withColumn(ids, _encode_column(path)(F.col(text)))
+    return short.unionByName(encode_long(docs.filter(_is_long(text)), path, text, ids))
 
 
 def _decode_column(path: str):
@@ -326,18 +335,37 @@ DIGEST = T.StructType(
 )
 
 
+def _digest(ids: bytes, enc: Encoder) -> dict:
+    row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest())
+    return dict(zip(DIGEST.names, row))
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: what ``encode`` and then ``decode`` give."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: what ``encode`` and then ``decode`` give.
+
+    Ids of a text that one task encodes don't leave that task.
+    """
     path = path or default_path()
+    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    @F.arrow_udf(DIGEST)
+    def of_texts(texts: pa.Array) -> pa.Array:
+        enc = encoder(path)
+        return pa.array([_digest(enc.text(t), enc) for t in as_bytes(texts)], kind)
 
     @F.arrow_udf(DIGEST)
-    def digest(ids: pa.Array) -> pa.Array:
+    def of_ids(ids: pa.Array) -> pa.Array:
         enc = encoder(path)
-        rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(enc.decode(i)).hexdigest()) for i in ids.to_pylist()]
-        return pa.array([dict(zip(DIGEST.names, r)) for r in rows], pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+        return pa.array([_digest(i, enc) for i in ids.to_pylist()], kind)
 
-    encoded = encode(docs.select("doc_id", "text"), path)
-    return encoded.select("doc_id", digest("ids").alias("d")).select("doc_id", "d.*")
+    rows = docs.select("doc_id", "text")
+    prepare(docs.sparkSession)
+    long = encode_long(rows.filter(_is_long("text")), path, "text", "ids")
+    found = [
+        rows.filter(~_is_long("text")).select("doc_id", of_texts("text").alias("d")),
+        long.select("doc_id", of_ids("ids").alias("d")),
+    ]
+    return found[0].unionByName(found[1]).select("doc_id", "d.*")
 
 
 def op8(spark, folder: str) -> DataFrame:

@@ -171,7 +171,7 @@ def landmarks(toxic: list[np.ndarray], clean: list[np.ndarray]) -> np.ndarray:
     return np.stack([(numbers >> BITS * (PIECE - 1 - i)) & 31 for i in range(PIECE)], axis=1)
 
 
-def _machine(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, ridge: float = 30.0) -> np.ndarray:
     """Weights of a linear machine with squared hinge loss, the last one a bias; Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * len(y)
