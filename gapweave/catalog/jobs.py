@@ -74,12 +74,12 @@ def _run(spark, folder):
     return jobs.impute_batch(_passages(spark, folder), FIELDS, tables.table(spark, folder, "pages"), CONFIG)
 
 
-EXTRACT_PAGES = f"""body AS (SELECT url, CASE WHEN length(html) > 10000 THEN {REDUCED.format('html')} ELSE html END AS data
+EXTRACT_PAGES = f"""body AS (SELECT url, html AS raw, CASE WHEN length(html) > 10000 THEN {REDUCED.format('html')} ELSE html END AS data
     FROM pages WHERE length(html) >= 1000),
   {blocks_sql('body', 'data')}, {flags_sql(WORDS)},
   f AS (SELECT b.*, coalesce(k.filtered, '') AS filtered FROM body b
         LEFT JOIN (SELECT url, {filtered_sql('contextual')} AS filtered FROM flags GROUP BY url) k USING (url)),
-  v AS (SELECT * FROM {long_rows('f', 'filtered', 'data')})"""
+  v AS (SELECT * FROM {long_rows('f', 'filtered', 'raw')})"""
 
 
 @add(
@@ -232,12 +232,12 @@ MERGED = """dear AS (SELECT entity_id, round(sum(coalesce(cost, 0)), 6) AS total
   merged AS (SELECT a.entity_id, a.url, CASE WHEN a.status <> 'ready' AND budget_mode AND b.status = 'ready' THEN 'ready' ELSE a.status END AS status,
       CASE WHEN a.status <> 'ready' AND budget_mode AND b.status = 'ready' THEN b.data ELSE a.data END AS data
     FROM scrapes a JOIN dear USING (entity_id) LEFT JOIN second_scrapes b ON a.entity_id = b.entity_id AND a.url = b.url)"""
-BUDGET_EXTRACT = f"""{MERGED}, body AS (SELECT entity_id, url, CASE WHEN length(data) > 10000 THEN {REDUCED.format('data')} ELSE data END AS data
+BUDGET_EXTRACT = f"""{MERGED}, body AS (SELECT entity_id, url, data AS raw, CASE WHEN length(data) > 10000 THEN {REDUCED.format('data')} ELSE data END AS data
     FROM merged WHERE status = 'ready' AND length(data) >= 1000),
   {blocks_sql('body', 'data')}, {flags_sql(WORDS)},
   f AS (SELECT b.*, coalesce(k.filtered, '') AS filtered FROM body b
         LEFT JOIN (SELECT url, {filtered_sql('contextual')} AS filtered FROM flags GROUP BY url) k USING (url)),
-  v AS (SELECT * FROM {long_rows('f', 'filtered', 'data')})"""
+  v AS (SELECT * FROM {long_rows('f', 'filtered', 'raw')})"""
 
 
 def _budget(spark, folder):

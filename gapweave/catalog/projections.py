@@ -428,15 +428,13 @@ REASON = """CASE WHEN NOT success THEN substr(url, 1, 50) || '...: ' || coalesce
 
 @add(
     "p23_failure_reasons",
-    f"""SELECT entity_id, 0 AS part, count(*) AS n_reasons, string_agg(reason, '; ' ORDER BY url) AS reasons
-        FROM (SELECT entity_id, url, {REASON} AS reason FROM scrapes) WHERE reason IS NOT NULL GROUP BY entity_id""",
+    f"""SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY url, reason) AS nr, reason AS text
+        FROM (SELECT entity_id, url, {REASON} AS reason FROM scrapes) WHERE reason IS NOT NULL""",
     "scrapes",
 )
 def p23(spark, folder):
     reasons = fetch.failure_reasons(shape(spark, folder, "scrapes"))
-    return fetch.joined_texts(reasons, ["entity_id"], "url", "reason").select(
-        "entity_id", "part", F.col("n").alias("n_reasons"), F.col("text").alias("reasons")
-    )
+    return fetch.numbered_texts(reasons, ["entity_id"], "url", "reason")
 
 
 @add(

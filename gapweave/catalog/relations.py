@@ -409,15 +409,12 @@ MESSAGES = """(SELECT entity_id, url, substr(url, 1, 50) || '...: ' || CASE WHEN
 
 @add(
     "a18_errors",
-    f"""SELECT entity_id, 0 AS part, count(*) AS errors_count, string_agg(message, '; ' ORDER BY url) AS messages
-        FROM {MESSAGES} GROUP BY entity_id""",
+    f"""SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY url, message) AS nr, message AS text FROM {MESSAGES}""",
     "scrapes",
 )
 def a18(spark, folder):
     messages = metrics.error_messages(shape(spark, folder, "scrapes"), 1000)
-    return fetch.joined_texts(messages, ["entity_id"], "url", "message").select(
-        "entity_id", "part", F.col("n").alias("errors_count"), F.col("text").alias("messages")
-    )
+    return fetch.numbered_texts(messages, ["entity_id"], "url", "message")
 
 
 @add(
@@ -453,8 +450,7 @@ def w2(spark, folder):
 VALID_LINK = r"""regexp_matches(link, '^https?://') AND NOT regexp_matches(lower(link),
       'facebook\.com|twitter\.com|instagram\.com|tiktok\.com|youtube\.com|pinterest\.com|reddit\.com')
     AND NOT regexp_matches(regexp_replace(link, '[?#].*$', ''), '(?i)\.(pdf|docx?|xlsx?|pptx?|zip)$')"""
-SELECTED = f"""few AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY entity_id, channel ORDER BY channel_rank, link) <= 15),
-  once AS (SELECT * FROM few WHERE {VALID_LINK}
+SELECTED = f"""once AS (SELECT * FROM hits WHERE {VALID_LINK}
     QUALIFY row_number() OVER (PARTITION BY entity_id, link ORDER BY channel_rank, channel_order, link) = 1),
   picked AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY channel_rank, channel_order, link) AS pos FROM once
     QUALIFY pos <= 10)"""
@@ -538,7 +534,7 @@ def t3(spark, folder):
     """The list order survives deduplication: each link knows the next position."""
     links = hits.first_per_link(hits.interleave(shape(spark, folder, "hits"))).select("entity_id", "link", "pos")
     back = links.withColumn("back", -F.col("pos"))
-    done = running.previous_value(back, ["entity_id"], ["back"], "pos", -running.rank_slice("pos"), "next_pos")
+    done = running.previous_value(back, ["entity_id"], ["back"], "pos", "next_pos")
     return done.drop("back")
 
 

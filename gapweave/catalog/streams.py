@@ -17,7 +17,7 @@ from .extraction import EXTRACTED, FIELDS, TOKENS
 catalog = Catalog()
 add = catalog.add
 
-CONFIG = RunConfig(min_page_chars=1000, trim_chars=15000)
+CONFIG = RunConfig(min_page_chars=1000)
 
 
 def stream_shape(spark, folder, name):

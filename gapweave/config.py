@@ -16,8 +16,6 @@ FINISHED = "finished"
 FAILED = "failed"
 CANCELLED = "cancelled"
 
-MIN_LINKS_FETCHED = 15
-TRIM_CHARS = 100000
 REDUCE_ABOVE_CHARS = 10000
 HIGH_COST = 10.0
 BUDGET_COST = 100.0
@@ -83,7 +81,7 @@ class RunConfig:
     deduplicate: bool = True
     min_page_chars: int = 5000
     strategy: str = "contextual"
-    trim_chars: int = TRIM_CHARS
+    trim_chars: int | None = None
     reduce_above: int = REDUCE_ABOVE_CHARS
     fetch_partitions: int = 5
     confidence: float = CONFIDENCE

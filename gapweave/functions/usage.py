@@ -17,9 +17,14 @@ def extract_cost(usage: Column) -> Column:
     )
 
 
+def money(cost: Column | str) -> Column:
+    """A cost as a decimal with twelve places, so that sums are exact in any order."""
+    return F.col(cost).cast("decimal(26,12)") if isinstance(cost, str) else cost.cast("decimal(26,12)")
+
+
 def exact_sum(cost: Column) -> Column:
-    """Sum in whole millionths, so that it does not depend on the order of rows."""
-    return F.sum(F.round(cost * 1_000_000).cast("long")) / F.lit(1_000_000.0)
+    """Sum that does not depend on the order of rows; nothing is rounded away from single costs."""
+    return F.sum(money(cost)).cast("double")
 
 
 def cost_per(total: Column, n: Column) -> Column:

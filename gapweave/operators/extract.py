@@ -207,8 +207,10 @@ def with_content(rows: DataFrame, fields: list[Field], config: RunConfig) -> Dat
     Runs the same on a batch and on a stream: projections only.
     """
     strategy = known_strategy(config.strategy)
-    rows = fetch.reduce_long(fetch.trim_long(rows, config.trim_chars), config.reduce_above)
-    rows = mark_blocks(rows, "data", [words_of(fields)])
+    # only the filter works on a shortened copy; fields of the page itself are read from all of it
+    rows = rows.withColumn("_body", F.col("data"))
+    rows = fetch.reduce_long(fetch.trim_long(rows, config.trim_chars, "_body"), config.reduce_above, "_body")
+    rows = mark_blocks(rows, "_body", [words_of(fields)])
     rows = rows.withColumn("filtered", filtered_text(strategy))
     rows = rows.withColumn("content", parsed(fields, F.col("filtered"), F.col("data")))
     found = F.coalesce(F.exists(F.map_values("content"), lambda v: v.isNotNull()), F.lit(False))
@@ -218,7 +220,7 @@ def with_content(rows: DataFrame, fields: list[Field], config: RunConfig) -> Dat
 
     kept = token_count(F.col("filtered"))
     stages = F.array(
-        stage("filter", token_count(F.col("data")), kept), stage("parse", kept, token_count(_values_text("content")))
+        stage("filter", token_count(F.col("_body")), kept), stage("parse", kept, token_count(_values_text("content")))
     )
     return (
         rows.withColumn("success", found)

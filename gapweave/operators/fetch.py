@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import VENDOR_SEARCH_URLS
 from ..functions import content, html, urls
+from . import running
 
 KEY = ["entity_id", "url"]
 NO_PAGE = "No page was fetched"
@@ -42,18 +43,20 @@ def size_gate(scrapes: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def trim_long(scrapes: DataFrame, limit: int) -> DataFrame:
-    """Cut bodies at ``limit`` characters and record where that happened."""
-    return scrapes.withColumn("trimmed_to", F.when(F.length("data") > limit, F.lit(limit))).withColumn(
-        "data", F.substring("data", 1, limit)
+def trim_long(scrapes: DataFrame, limit: int | None, body: str = "data") -> DataFrame:
+    """Cut bodies at ``limit`` characters and record where that happened; ``None`` cuts nothing."""
+    if limit is None:
+        return scrapes.withColumn("trimmed_to", F.lit(None).cast("int"))
+    return scrapes.withColumn("trimmed_to", F.when(F.length(body) > limit, F.lit(limit))).withColumn(
+        body, F.substring(body, 1, limit)
     )
 
 
-def reduce_long(scrapes: DataFrame, above: int) -> DataFrame:
+def reduce_long(scrapes: DataFrame, above: int, body: str = "data") -> DataFrame:
     """Reduce only bodies for which it pays off."""
-    long = F.length("data") > above
+    long = F.length(body) > above
     return scrapes.withColumn("reduced", F.coalesce(long, F.lit(False))).withColumn(
-        "data", F.when(long, html.reduce_html(F.col("data"))).otherwise(F.col("data"))
+        body, F.when(long, html.reduce_html(F.col(body))).otherwise(F.col(body))
     )
 
 
@@ -196,17 +199,10 @@ def failure_reasons(scrapes: DataFrame) -> DataFrame:
     return scrapes.select(*KEY, reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
-def joined_texts(
-    rows: DataFrame, keys: list[str], order: str, text: str, separator: str = "; ", per_part: int = 1000
-) -> DataFrame:
-    """Texts of a key joined in order, in parts of about ``per_part`` texts.
+def numbered_texts(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """Texts of a key in order, one row each: ``keys, nr, text`` with nr = 1, 2, 3 …
 
-    A key with few texts gets one part.  One with very many is spread over as
-    many parts as it needs, so that no task has to hold all of it.
+    Rows and not one joined text, so that a key may have any number of them.
     """
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / per_part).cast("long").alias("n_parts"))
-    parts = rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(order), F.col("n_parts")))
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return parts.groupBy(*keys, "part").agg(
-        F.count("*").alias("n"), F.array_join(F.transform(pairs, lambda p: p["t"]), separator).alias("text")
-    )
+    listed = rows.select(*keys, F.col(order).alias("_order"), F.col(text).alias("text"))
+    return running.row_numbers(listed, keys, ["_order", "text"], "nr").select(*keys, "nr", "text")

@@ -19,7 +19,7 @@ def confident_values(values: DataFrame, threshold: float, relaxed: float, minimu
 
 def votes(values: DataFrame) -> DataFrame:
     """How often each value was found, and its best source."""
-    best = F.min_by("url", F.struct(-F.col("confidence"), F.col("url")))
+    best = F.min_by("url", F.struct(-F.coalesce("confidence", F.lit(-1.0)), F.col("url")))
     return (
         values.filter(F.col("value").isNotNull())
         .groupBy(*KEY, "value")

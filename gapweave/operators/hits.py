@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import MIN_LINKS_FETCHED, SEARCH_CACHE_SECONDS
+from ..config import SEARCH_CACHE_SECONDS
 from ..functions import urls
 from . import running
 
-# Up to this many rows per group the rank filter is pushed below the shuffle,
-# so that every task sends at most k rows of a group.
-MAX_TOP_K = 1000
-
 
 def _check_k(k: int) -> int:
-    if not 1 <= k <= MAX_TOP_K:
-        raise ValueError(f"k must be between 1 and {MAX_TOP_K}")
+    if k < 1:
+        raise ValueError("k must be at least 1")
     return k
 
 
@@ -29,7 +25,7 @@ def top_k(rows: DataFrame, keys: list[str], order: list, k: int, out: str = "pos
 def interleave(hits: DataFrame) -> DataFrame:
     """Round-robin position over the channels: all first hits, all second hits …"""
     return running.row_numbers(
-        hits, ["entity_id"], ["channel_rank", "channel_order"], running.rank_slice("channel_rank"), "pos"
+        hits, ["entity_id"], ["channel_rank", "channel_order"], "pos"
     )
 
 
@@ -49,20 +45,13 @@ def usable_links(hits: DataFrame) -> DataFrame:
     return hits.filter(urls.is_valid_url(link) & ~urls.is_file_link(link))
 
 
-def select_links(
-    hits: DataFrame, k: int, interleaved: bool = True, deduplicate: bool = True, already_cut: bool = False
-) -> DataFrame:
+def select_links(hits: DataFrame, k: int, interleaved: bool = True, deduplicate: bool = True) -> DataFrame:
     """Links to fetch for each entity, in order.
 
-    Each channel contributes its first ``max(k, 15)`` hits; they are mixed,
-    deduplicated, validated and cut to ``k``.  After the first cut, which
-    ``already_cut`` leaves out, an entity has a bounded number of rows, so one
-    partitioning by entity serves all that follows.
+    All hits are validated, mixed and deduplicated; only then are they cut to
+    ``k``, so a channel that opens with unusable links still gives its good ones.
     """
     _check_k(k)
-    if not already_cut:
-        hits = top_k(hits, ["entity_id", "channel"], ["channel_rank", "link"], max(k, MIN_LINKS_FETCHED), "_r").drop("_r")
-    hits = hits.repartition("entity_id")
     order = ["channel_rank", "channel_order"] if interleaved else ["channel_order", "channel_rank"]
     hits = usable_links(hits).withColumn("_o", F.struct(*order, "link"))
     if deduplicate:
@@ -94,7 +83,7 @@ def uncached_requests(requests: DataFrame, cache: DataFrame, seconds: int = SEAR
         known.withColumn("_is_request", F.lit(False)), allowMissingColumns=True
     )
     # at the same instant the answer comes first
-    done = running.running_max(both, keys, ["_at", "_is_request"], "_cached", running.time_slice("_at"), "_latest")
+    done = running.running_max(both, keys, ["_at", "_is_request"], "_cached", "_latest")
     age = F.unix_micros("_at") - F.unix_micros("_latest")
     fresh = F.coalesce(age <= seconds * 1_000_000, F.lit(False))
     return done.filter(F.col("_is_request") & ~fresh).select(*requests.columns)

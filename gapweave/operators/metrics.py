@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FAILED, FINISHED
-from ..functions.usage import cost_per, exact_sum, rate, status_text
+from ..functions.usage import cost_per, exact_sum, money, rate, status_text
 from . import running
 
 PLACES = 6
@@ -33,7 +33,8 @@ def channel_statistics(hits: DataFrame, channel_usage: DataFrame) -> DataFrame:
     best = F.min_by("title", F.struct("channel_rank", "link"))
     per_hit = hits.groupBy("channel").agg(F.count("*").alias("results"), best.alias("top_result"))
     per_use = channel_usage.groupBy("channel").agg(exact_sum(F.col("cost")).alias("cost"), F.sum("elapsed").alias("elapsed"))
-    merged = per_use.join(per_hit, "channel", "left")
+    # a channel without a usage row still counts with its hits, one without hits with its cost
+    merged = per_use.join(per_hit, "channel", "full_outer")
     by_channel = merged.rollup("channel").agg(
         F.coalesce(F.sum("results"), F.lit(0)).alias("results"),
         F.round(F.sum("cost"), PLACES).alias("cost"),
@@ -174,7 +175,8 @@ def cost_extremes(events: DataFrame, threshold: float) -> DataFrame:
     extracted = F.col("stage") == "extracted"
     total = exact_sum(F.col("cost"))
     return events.groupBy("run_id").agg(
-        F.min_by("url", F.struct(-F.col("cost"), F.col("url"))).alias("most_expensive_url"),
+        # an unknown cost is no cost: a null order is passed over
+        F.min_by("url", F.when(F.col("cost").isNotNull(), F.struct(-F.col("cost"), F.col("url")))).alias("most_expensive_url"),
         F.min(F.when(extracted, F.col("cost"))).alias("cheapest_successful_extraction"),
         (F.round(total, PLACES) > threshold).alias("cost_threshold_exceeded"),
         cost_per(total, F.count_if(extracted)).alias("cost_per_result"),
@@ -228,43 +230,37 @@ def cost_breakdown(events: DataFrame) -> DataFrame:
 # --- order within a run ---------------------------------------------------------
 
 
-def running_cost(events: DataFrame, limit: float, slice_seconds: int = 60) -> DataFrame:
+def running_cost(events: DataFrame, limit: float) -> DataFrame:
     """Cumulative cost in time order and the first event past the budget, in
-    whole millionths so that the border does not depend on the order of sums."""
-    micros = F.round(F.col("cost") * 1_000_000).cast("long")
-    done = running.running_sums(
-        events, ["run_id"], ["ts", "url"], {"_sum": F.coalesce(micros, F.lit(0))}, running.time_slice("ts", slice_seconds)
-    )
-    border = round(limit * 1_000_000)
+    decimals so that the border does not depend on the order of sums."""
+    cost = F.coalesce(money("cost"), F.lit(0))
+    done = running.running_sums(events, ["run_id"], ["ts", "url"], {"_sum": cost})
+    border = money(F.lit(limit))
     over = F.col("_sum") > border
-    before = F.col("_sum") - F.coalesce(micros, F.lit(0)) > border
+    before = F.col("_sum") - cost > border
     return (
-        done.withColumn("running_cost", F.col("_sum") / F.lit(1_000_000.0))
+        done.withColumn("running_cost", F.round(F.col("_sum").cast("double"), PLACES))
         .withColumn("over_budget", over)
         .withColumn("is_cut", over & ~before)
         .drop("_sum")
     )
 
 
-def event_gaps(events: DataFrame, slice_seconds: int = 60) -> DataFrame:
+def event_gaps(events: DataFrame) -> DataFrame:
     """Seconds since the previous event of the same run."""
-    done = running.previous_value(
-        events, ["run_id"], ["ts", "event_id"], "ts", running.time_slice("ts", slice_seconds), "previous_ts"
-    )
+    done = running.previous_value(events, ["run_id"], ["ts", "event_id"], "ts", "previous_ts")
     return done.withColumn("gap_seconds", _seconds(F.col("ts"), F.col("previous_ts")))
 
 
 def cost_rank(scrapes: DataFrame) -> DataFrame:
     """Position of each link by cost, dearest first, with ties sharing it.
 
-    Equal costs are counted first; the distinct ones are then accumulated in
-    slices of falling cost.
+    Equal costs are counted first; the distinct ones are then accumulated.
     """
     rows = scrapes.select("entity_id", "url", F.coalesce("cost", F.lit(0.0)).alias("cost"))
     levels = rows.groupBy("entity_id", "cost").agg(F.count("*").alias("n"))
-    rising = running.quantile_slice(rows, "cost")
     sums = {"dense_rank": F.lit(1).cast("long"), "upto": F.col("n")}
-    ranks = running.running_sums(levels, ["entity_id"], [F.desc("cost")], sums, lambda: -rising())
+    ranks = running.running_sums(levels, ["entity_id"], [F.desc("cost")], sums)
     ranks = ranks.select("entity_id", "cost", "dense_rank", (F.col("upto") - F.col("n") + 1).alias("rank"))
     return rows.join(ranks, ["entity_id", "cost"])
 

@@ -1,116 +1,80 @@
-"""Running values over groups of any size.
-
-A window puts a whole group into one task.  That is best for the usual group and
-too much for one that holds a third of all rows.  So groups are counted first
-(one narrow scan with partial aggregation), and only those above ``GROUP_ROWS``
-are cut into consecutive slices by an expression that follows the order: a rank
-divided by a width, a time cut to the minute, a quantile.  Slices are summarised,
-the short list of summaries is accumulated, and each slice needs only its own rows
-plus what was carried in.
+"""Running values over groups of any size, one way for all of them.
+
+A window puts a whole group into one task, which is too much for one that holds a
+third of all rows.  So the rows are put in the order of keys and values, in ranges
+of about equal size: a large group, or a single instant with many rows, then covers
+several of them.  The ranges are written once, because they must be the same for
+all that follows.  Each group's part of a range is summarised, the short list of
+summaries is accumulated, and a part needs only its own rows plus what is carried
+in from the parts before it.  Nulls are a group like any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one group that a single task may sort.
-GROUP_ROWS = 1_000_000
-# Large groups that are named one by one; with more of them every group is sliced.
-MAX_LARGE_GROUPS = 10_000
-RANK_WIDTH = 1000
+from ..session import hand_over
 
 
-def rank_slice(rank: str, width: int = RANK_WIDTH) -> Column:
-    return F.floor((F.col(rank) - 1) / width)
+def _in_ranges(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Rows with ``_range`` and their ``_place`` in it; equal rows may lie in several ranges."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, *order, "_tie"]
+    ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *by).sortWithinPartitions(*by)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return hand_over(ranged.drop("_tie").withColumns({"_range": F.spark_partition_id(), "_place": place}))
 
 
-def time_slice(ts: str, seconds: int = 60) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
+def _with_carry(rows: DataFrame, keys: list[str], parts: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+    """Rows with what the parts of their group before theirs add up to, null in the first."""
+    totals = rows.groupBy(*keys, "_range").agg(*[c.alias(n) for n, c in parts.items()])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("_range")) == 1
+    carry = totals.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), first.alias("_first"), *[c.over(before).alias(n) for n, c in carried.items()]
+    ).filter(~F.col("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    met = reduce(lambda a, b: a & b, same, F.col("_range") == F.col("_r"))
+    return rows.join(carry, met, "left").drop("_r", "_first", *[f"_k_{k}" for k in keys])
 
 
-def quantile_slice(rows: DataFrame, column: str, slices: int = 64) -> Callable[[], Column]:
-    """Slices of about equal size for a number of unknown distribution.
+def _inside(keys: list[str]):
+    return Window.partitionBy("_range", *keys).orderBy("_place")
 
-    The borders are a fixed short list on the driver, so every reader of the
-    slice sees the same ones; they are looked for only if some group is large.
-    """
 
-    def make() -> Column:
-        borders = rows.approxQuantile(column, [i / slices for i in range(1, slices)], 0.5 / slices)
-        below = F.array(*[F.lit(float(b)) for b in sorted(set(borders))])
-        return F.size(F.filter(below, lambda b: b < F.col(column)))
+def _upto(keys: list[str]):
+    return _inside(keys).rowsBetween(Window.unboundedPreceding, 0)
 
-    return make
 
-
-def _sliced(rows: DataFrame, keys: list[str], slices) -> tuple[DataFrame, bool]:
-    """Rows with ``_slice``, and whether any group has more than one."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > GROUP_ROWS).select(*keys)
-    found = large.limit(MAX_LARGE_GROUPS + 1).collect()
-    if not found:
-        return rows.withColumn("_slice", F.lit(0).cast("long")), False
-    cut = (slices() if callable(slices) else slices).cast("long")
-    if len(found) > MAX_LARGE_GROUPS:
-        return rows.withColumn("_slice", cut), True
-    # at most MAX_LARGE_GROUPS rows, so this may be sent to every task
-    named = F.broadcast(rows.sparkSession.createDataFrame(found, large.schema).withColumn("_large", F.lit(True)))
-    marked = rows.join(named, keys, "left")
-    return marked.withColumn("_slice", F.when(F.col("_large"), cut).otherwise(0)).drop("_large"), True
-
-
-def _with_carry(rows: DataFrame, keys, summaries: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
-    """Rows with what the slices before theirs add up to, null in a first slice.
-
-    Only later slices have a carry, so the joined side is short; it is hashed
-    the way the window inside a slice needs it anyway.
-    """
-    totals = rows.groupBy(*keys, "_slice").agg(*[c.alias(n) for n, c in summaries.items()])
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("_slice")) == 1
-    carry = totals.select(*keys, "_slice", first.alias("_first"), *[c.over(before).alias(n) for n, c in carried.items()])
-    return rows.join(carry.filter(~F.col("_first")).drop("_first"), [*keys, "_slice"], "left")
-
-
-def _prepare(rows, keys, slices, summaries, carried) -> DataFrame:
-    rows, cut = _sliced(rows, keys, slices)
-    return _with_carry(rows, keys, summaries, carried) if cut else rows.withColumns({n: F.lit(None) for n in carried})
-
-
-def _inside(keys, order):
-    return Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def running_sums(rows: DataFrame, keys: list[str], order: list, sums: dict[str, Column], slices) -> DataFrame:
+def running_sums(rows: DataFrame, keys: list[str], order: list, sums: dict[str, Column]) -> DataFrame:
     """Each of ``sums`` up to and including the row."""
-    rows = rows.withColumns({f"_v_{out}": v for out, v in sums.items()})
+    ranged = _in_ranges(rows.withColumns({f"_v_{out}": v for out, v in sums.items()}), keys, order)
     parts = {f"_p_{out}": F.sum(f"_v_{out}") for out in sums}
     carries = {f"_c_{out}": F.sum(f"_p_{out}") for out in sums}
-    done = _prepare(rows, keys, slices, parts, carries)
-    totals = {
-        out: F.coalesce(F.col(f"_c_{out}"), F.lit(0)) + F.sum(f"_v_{out}").over(_inside(keys, order)) for out in sums
-    }
-    return done.withColumns(totals).drop("_slice", *[f"_v_{o}" for o in sums], *carries)
+    done = _with_carry(ranged, keys, parts, carries)
+    totals = {out: F.coalesce(F.col(f"_c_{out}"), F.lit(0)) + F.sum(f"_v_{out}").over(_upto(keys)) for out in sums}
+    return done.withColumns(totals).drop("_range", "_place", *[f"_v_{o}" for o in sums], *carries)
 
 
-def row_numbers(rows: DataFrame, keys: list[str], order: list, slices, out: str) -> DataFrame:
+def row_numbers(rows: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
     """``out`` = 1, 2, 3 … per group without gaps."""
-    return running_sums(rows, keys, order, {out: F.lit(1).cast("long")}, slices)
+    return running_sums(rows, keys, order, {out: F.lit(1).cast("long")})
 
 
-def previous_value(rows: DataFrame, keys: list[str], order: list[str], value: str, slices, out: str) -> DataFrame:
-    """``out`` = ``value`` of the row before, also across slice borders."""
-    last = F.max_by(value, F.struct(*order))
-    done = _prepare(rows, keys, slices, {"_last": last}, {"_carry": F.last("_last")})
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    return done.withColumn(out, F.coalesce(F.lag(value).over(inside), F.col("_carry"))).drop("_slice", "_carry")
+def previous_value(rows: DataFrame, keys: list[str], order: list, value: str, out: str) -> DataFrame:
+    """``out`` = ``value`` of the row before, null or not, also across ranges."""
+    ranged = _in_ranges(rows, keys, order)
+    done = _with_carry(ranged, keys, {"_last": F.max_by(F.struct(value), "_place")}, {"_carry": F.last("_last")})
+    first = F.row_number().over(_inside(keys)) == 1
+    before = F.when(first, F.col("_carry")[value]).otherwise(F.lag(value).over(_inside(keys)))
+    return done.withColumn(out, before).drop("_range", "_place", "_carry")
 
 
-def running_max(rows: DataFrame, keys: list[str], order: list, value: str, slices, out: str) -> DataFrame:
+def running_max(rows: DataFrame, keys: list[str], order: list, value: str, out: str) -> DataFrame:
     """``out`` = greatest ``value`` up to and including the row; nulls do not count."""
-    done = _prepare(rows, keys, slices, {"_most": F.max(value)}, {"_carry": F.max("_most")})
-    inside = F.max(value).over(_inside(keys, order))
-    return done.withColumn(out, F.greatest(F.col("_carry"), inside)).drop("_slice", "_carry")
+    done = _with_carry(_in_ranges(rows, keys, order), keys, {"_most": F.max(value)}, {"_carry": F.max("_most")})
+    inside = F.max(value).over(_upto(keys))
+    return done.withColumn(out, F.greatest(F.col("_carry"), inside)).drop("_range", "_place", "_carry")

@@ -135,8 +135,11 @@ def _candidates(found: DataFrame, terms: DataFrame, n_terms: int, k: int) -> Dat
 def search_pages(queries: DataFrame, pages: DataFrame, k: int) -> DataFrame:
     """Hits of both page channels with link and title."""
     best = search(queries, page_corpus(pages), pages.count(), k)
-    order = F.when(F.col("channel") == "title", 0).otherwise(1)
-    return page_names(pages).join(best, "doc_id").withColumn("channel_order", order)
+    return page_names(pages).join(best, "doc_id").withColumn("channel_order", channel_order())
+
+
+def channel_order():
+    return F.when(F.col("channel") == "title", 0).otherwise(1)
 
 
 def search_result(queries: DataFrame, found: DataFrame) -> DataFrame:
@@ -158,5 +161,8 @@ def search_result(queries: DataFrame, found: DataFrame) -> DataFrame:
 
 def search_links(queries: DataFrame, pages: DataFrame, k: int, interleaved: bool = True, deduplicate: bool = True):
     """Search only: the links to fetch, in order."""
-    found = search_pages(queries, pages, max(k, hits.MIN_LINKS_FETCHED))
-    return hits.select_links(found, k, interleaved, deduplicate, already_cut=True)
+    # unusable links are left out before they are ranked; of the others each channel needs its first k
+    store = hits.usable_links(pages.select("page_id", F.col("url").alias("link"), "html"))
+    best = search(queries, page_corpus(store), store.count(), k)
+    found = store.select(F.col("page_id").alias("doc_id"), "link").join(best, "doc_id")
+    return hits.select_links(found.withColumn("channel_order", channel_order()), k, interleaved, deduplicate)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..config import FAILED, FINISHED, INITIALIZING, RUNNING, Field, RunConfig
+from ..functions.usage import exact_sum
 from ..operators import extract, fetch
 from ..session import scratch_dir
 
@@ -115,7 +116,7 @@ def windowed_metrics(events: DataFrame, width: str = "1 hour", slide: str | None
     done = F.count_if(F.col("stage").isin("extracted", "failed"))
     return timed.groupBy(window.alias("w")).agg(
         F.count("*").alias("n_events"),
-        F.round(F.sum(F.round(F.col("cost") * 1_000_000).cast("long")) / 1e6, 6).alias("cost"),
+        F.round(exact_sum(F.col("cost")), 6).alias("cost"),
         F.round(F.coalesce(F.try_divide(F.count_if(F.col("stage") == "extracted"), done), F.lit(0.0)), 6).alias("success_rate"),
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_events", "cost", "success_rate")
 

@@ -78,9 +78,45 @@ def test_valid_links(spark):
 
 def test_top_k_bounds(spark):
     df = spark.createDataFrame([(1, 1)], "g int, x int")
-    for k in (0, 1001):
-        with pytest.raises(ValueError):
-            hits.top_k(df, ["g"], ["x"], k)
+    with pytest.raises(ValueError):
+        hits.top_k(df, ["g"], ["x"], 0)
+    assert hits.top_k(spark.range(6000).selectExpr("1 AS g", "id AS x"), ["g"], ["x"], 5000).count() == 5000
+
+
+def test_unusable_links_take_no_place(spark):
+    rows = [(1, "a", 0, i, f"http://x.org/{i}.pdf" if i <= 15 else f"http://x.org/{i}") for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "entity_id long, channel string, channel_order int, channel_rank long, link string")
+    assert [r.link for r in hits.select_links(df, 10).orderBy("pos").collect()] == [f"http://x.org/{i}" for i in range(16, 26)]
+
+
+def test_unused_channels_unknown_costs_and_confidences(spark):
+    found = spark.createDataFrame([("a", 1, "l1", "t"), ("b", 1, "l2", "u")], "channel string, channel_rank long, link string, title string")
+    used = spark.createDataFrame([("a", 1.5, 2.0), ("c", 0.5, 1.0)], "channel string, cost double, elapsed double")
+    got = {r.channel: (r.results, r.cost, r.channels) for r in metrics.channel_statistics(found, used).collect()}
+    assert got == {"a": (1, 1.5, 1), "b": (1, None, 1), "c": (0, 0.5, 1), "(all)": (2, 2.0, 3)}
+    events = spark.createDataFrame([(1, "x", 5.0, "scraped"), (1, "y", None, "scraped")], "run_id long, url string, cost double, stage string")
+    assert metrics.cost_extremes(events, 10).first().most_expensive_url == "x"
+    values = spark.createDataFrame([(1, "f", "v", 0.9, "good"), (1, "f", "v", None, "none")], "entity_id long, field string, value string, confidence double, url string")
+    fused = gather.fuse(values).first()
+    assert (fused.confidence, fused.source_url) == (0.9, "good")
+
+
+def test_very_small_costs_add_up(spark):
+    many = spark.range(1_000_000).selectExpr("1 AS run_id", "4e-7D AS cost")
+    assert many.agg(usage.exact_sum(F.col("cost")).alias("s")).first().s == 0.4
+
+
+def test_values_do_not_depend_on_the_size_of_the_page(spark):
+    fields = [
+        Field("lang", "language", pattern='<html lang="([a-z]+)"', on_page=True),
+        Field("late", "far down", pattern="LATE=([0-9]+)", on_page=True),
+        Field("kept", "in the text", pattern="kept: ([0-9]+)", keywords=("kept",)),
+    ]
+    start = '<html lang="en"><body><p>kept: 5</p>'
+    rows = [("short", start + "LATE=7</body></html>"), ("long", start + "<p>filler</p>" * 20_000 + "LATE=7</body></html>")]
+    scrapes = spark.createDataFrame(rows, "url string, data string").selectExpr("1L AS entity_id", "url", "data", "true AS success", "'ready' AS status")
+    got = {r.url: r.content for r in extract.extract(scrapes, fields, RunConfig()).collect()}
+    assert got["short"] == got["long"] == {"lang": ["en"], "late": ["7"], "kept": ["5"]}
 
 
 def test_select_links_mixes_deduplicates_and_trims(spark):
@@ -225,16 +261,12 @@ def test_fetch_gives_a_row_for_every_link(spark):
     assert got == {(1, "a"): ("ready", None, 0.0), (2, "a"): ("ready", None, 0.0), (1, "x"): ("failed", fetch.NO_PAGE, 0.0)}
 
 
-def test_texts_of_a_large_key_come_in_parts(spark):
+def test_texts_of_a_large_key_are_numbered_rows(spark):
     df = spark.range(2500).select(
         F.when(F.col("id") < 2400, 1).otherwise(F.col("id")).alias("entity_id"), F.lpad(F.col("id").cast("string"), 5, "0").alias("url")
     )
-    parts = fetch.joined_texts(df, ["entity_id"], "url", "url", per_part=100).collect()
-    hot = [p for p in parts if p.entity_id == 1]
-    assert len(hot) == 24 and max(p.n for p in hot) < 250
-    texts = sorted(t for p in hot for t in p.text.split("; "))
-    assert texts == [f"{i:05d}" for i in range(2400)]
-    assert all(p.part == 0 and p.n == 1 for p in parts if p.entity_id != 1)
+    got = {(r.entity_id, r.nr): r.text for r in fetch.numbered_texts(df, ["entity_id"], "url", "url").collect()}
+    assert got == {(1, i + 1): f"{i:05d}" for i in range(2400)} | {(i, 1): f"{i:05d}" for i in range(2400, 2500)}
 
 
 def test_size_gate(spark):

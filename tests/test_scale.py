@@ -10,10 +10,10 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from gapweave import catalog
 from gapweave.operators import gather, hits, metrics, running, search
 
-QUERIES = entry.queries()
+QUERIES = catalog.queries()
 
 
 @pytest.fixture(scope="module")
@@ -29,13 +29,13 @@ def skewed(spark):
     return rows, df.drop("second")
 
 
-@pytest.fixture(params=["no group is large", "some are", "too many to name"])
-def ways(request, monkeypatch):
-    """Every way the running values can be made, on small groups."""
-    if request.param != "no group is large":
-        monkeypatch.setattr(running, "GROUP_ROWS", 60 if request.param == "some are" else 3)
-    if request.param == "too many to name":
-        monkeypatch.setattr(running, "MAX_LARGE_GROUPS", 1)
+@pytest.fixture(params=[1, 4, 50])
+def ways(request, spark):
+    """Groups in one range, in several, and with a few rows in each."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def by_run(rows):
@@ -45,8 +45,7 @@ def by_run(rows):
     return {k: sorted(v) for k, v in groups.items()}
 
 
-@pytest.mark.parametrize("seconds", [1, 60, 100000])
-def test_running_cost_equals_brute_force(skewed, seconds, ways):
+def test_running_cost_equals_brute_force(skewed, ways):
     rows, df = skewed
     want = {}
     for items in by_run(rows).values():
@@ -56,12 +55,11 @@ def test_running_cost_equals_brute_force(skewed, seconds, ways):
             over = total > 500
             want[event] = (total / 100, over, over and not cut)
             cut = cut or over
-    got = {r.event_id: (r.running_cost, r.over_budget, r.is_cut) for r in metrics.running_cost(df, 5.0, seconds).collect()}
+    got = {r.event_id: (r.running_cost, r.over_budget, r.is_cut) for r in metrics.running_cost(df, 5.0).collect()}
     assert got == want
 
 
-@pytest.mark.parametrize("seconds", [1, 600])
-def test_gaps_equal_brute_force(skewed, seconds, ways):
+def test_gaps_equal_brute_force(skewed, ways):
     rows, df = skewed
     want = {}
     for items in by_run(rows).values():
@@ -69,15 +67,37 @@ def test_gaps_equal_brute_force(skewed, seconds, ways):
         for second, event, _ in items:
             want[event] = None if before is None else float(second - before)
             before = second
-    assert {r.event_id: r.gap_seconds for r in metrics.event_gaps(df, seconds).collect()} == want
+    assert {r.event_id: r.gap_seconds for r in metrics.event_gaps(df).collect()} == want
 
 
 def test_row_numbers_over_many_slices(spark, ways):
     df = spark.range(2000).select((F.col("id") % 2).alias("g"), (F.col("id") + 1).alias("rank"))
-    done = running.row_numbers(df, ["g"], ["rank"], running.rank_slice("rank", 50), "pos").collect()
+    done = running.row_numbers(df, ["g"], ["rank"], "pos").collect()
     assert all(r.pos == (r["rank"] + 1) // 2 if r.g == 0 else r.pos == r["rank"] // 2 for r in done)
 
 
+def test_null_keys_null_values_and_one_hot_instant(spark, ways):
+    rng = random.Random(5)
+    rows = [(None if i % 3 == 0 else i % 5, 7 if i % 2 else rng.randrange(20), i, None if i % 4 == 0 else rng.randrange(9)) for i in range(900)]
+    df = spark.createDataFrame(rows, "g long, at long, id long, v long")
+    groups = defaultdict(list)
+    for g, at, i, v in rows:
+        groups[g].append((at, i, v))
+    sums, before, most, number = {}, {}, {}, {}
+    for items in groups.values():
+        total, last, top = 0, None, None
+        for n, (_, i, v) in enumerate(sorted(items, key=lambda r: r[:2])):
+            total += v or 0
+            top = v if top is None else top if v is None else max(top, v)
+            sums[i], before[i], most[i], number[i] = total, last, top, n + 1
+            last = v
+    order = ["at", "id"]
+    assert {r.id: r.s for r in running.running_sums(df, ["g"], order, {"s": F.coalesce("v", F.lit(0))}).collect()} == sums
+    assert {r.id: r.p for r in running.previous_value(df, ["g"], order, "v", "p").collect()} == before
+    assert {r.id: r.m for r in running.running_max(df, ["g"], order, "v", "m").collect()} == most
+    assert {r.id: r.n for r in running.row_numbers(df, ["g"], order, "n").collect()} == number
+
+
 def test_cost_rank_equals_brute_force(skewed, ways):
     rows, df = skewed
     got = {r.url: (r["rank"], r.dense_rank) for r in metrics.cost_rank(df.withColumnRenamed("run_id", "entity_id")).collect()}
