@@ -7,8 +7,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..config import MODE_FALLBACK, MODE_ONLY, FastPath, RunConfig
-from ..operators import extract, log
+from ..config import MODE_FALLBACK, MODE_ONLY, FastPath, Field, RunConfig
+from ..operators import log
 from ..plans import jobs
 from ..session import scratch_dir
 from ..sources import tables
@@ -142,6 +142,17 @@ def job5(spark, folder):
     return reduce(lambda a, b: a.unionByName(b), counts)
 
 
+@add("job5_logged_values", "SELECT entity_id AS run_id, * EXCLUDE (entity_id) FROM (" + catalog.oracles["job1_impute_batch"] + ")")
+def job5_values(spark, folder):
+    """What a run has logged as its values, read back from the log."""
+    entities = _passages(spark, folder)
+    run = jobs.impute_batch(entities, FIELDS, tables.table(spark, folder, "pages"), CONFIG)
+    started = dt.datetime(2024, 1, 1, 12)
+    logged = jobs.log_tables(run, entities, FIELDS, started, started)
+    path = jobs.write_log({log.VALUES: logged[log.VALUES]}, scratch_dir(spark))
+    return jobs.read_log(spark, path, names=(log.VALUES,))[log.VALUES].drop("run_date")
+
+
 @add("job2_impute_stream", catalog.oracles["job1_impute_batch"])
 def job2(spark, folder):
     pages = tables.table(spark, folder, "pages")
@@ -215,6 +226,40 @@ def job3_only(spark, folder):
     return jobs.fast_path(shape(spark, folder, "entities"), _answers(spark, folder), config)
 
 
+VENDOR_FIELDS = [Field("part", "name of the part")]
+
+
+def _vendors_first(spark, folder):
+    config = RunConfig(min_page_chars=1000, fast_path=FastPath(mode=MODE_FALLBACK, min_result_size=200))
+    return jobs.impute_batch(
+        shape(spark, folder, "entities"), VENDOR_FIELDS, tables.table(spark, folder, "pages"), config,
+        answers=_answers(spark, folder).withColumn("cost", F.lit(0.0025)),
+    )
+
+
+@add(
+    "job1_vendors_first",
+    f"""WITH+ {ANSWERS} SELECT e.entity_id, 'part' AS field, a.name AS value, 1.0::DOUBLE AS confidence, 1 AS votes, a.url AS source_url
+        FROM entities e JOIN answers a ON a.name = e.name WHERE a.success AND a.kind = 0 AND trim(e.name) <> ''""",
+    "entities",
+)
+def job1_vendors(spark, folder):
+    return _vendors_first(spark, folder).values
+
+
+@add(
+    "job1_vendor_costs",
+    f"""WITH+ {ANSWERS} SELECT e.entity_id, 0.0::DOUBLE AS serp_cost, round(count(a.name) * 0.0025, 6)::DOUBLE AS scrape_cost, 0.0::DOUBLE AS extraction_cost,
+          round(count(a.name) * 0.0025, 6)::DOUBLE AS total_cost,
+          CASE WHEN count(a.name) FILTER (a.success AND a.kind = 0) = 0 THEN 0.0::DOUBLE
+               ELSE round(round(round(count(a.name) * 0.0025, 6) * 1e6) / count(a.name) FILTER (a.success AND a.kind = 0))::DOUBLE / 1e6 END AS cost_per_successful_extraction
+        FROM entities e LEFT JOIN answers a ON a.name = e.name AND trim(e.name) <> '' GROUP BY e.entity_id""",
+    "entities",
+)
+def job1_costs(spark, folder):
+    return _vendors_first(spark, folder).costs
+
+
 @add(
     "job3_fast_path_errors",
     f"""WITH+ {ANSWERS} SELECT entity_id, url, substr(url, 1, 50) || '...: ' || CASE WHEN NOT success THEN 'timeout' ELSE 'Empty data' END AS reason
@@ -272,13 +317,13 @@ def job4_values(spark, folder):
     f"""SELECT s.*, CASE WHEN max > t THEN t END AS threshold,
         CASE WHEN max > t THEN CASE WHEN max > t * CASE WHEN t = 10 THEN 3 ELSE 5 END THEN 'high' ELSE 'medium' END END AS concern_level,
         CASE WHEN max > t THEN r END AS recommendation FROM {PHASE_STATS} s LEFT JOIN (VALUES
-          ('request_to_snapshot', 10.0::DOUBLE, 'Consider optimizing scraping timeouts or concurrency'),
-          ('snapshot_to_poll', 10.0, 'Consider optimizing scraping timeouts or concurrency'),
-          ('poll_to_data', 10.0, 'Consider optimizing scraping timeouts or concurrency'),
-          ('total_scrape_time', 10.0, 'Consider optimizing scraping timeouts or concurrency'),
-          ('parse_converttodict_duration', 0.1, 'Consider making converttodict operation async or running in thread pool'),
-          ('filter_enqueue_to_dequeue', 1.0, 'Consider increasing LLM service concurrency limits'),
-          ('parse_enqueue_to_dequeue', 1.0, 'Consider increasing LLM service concurrency limits'),
+          ('request_to_snapshot', 10.0::DOUBLE, 'Pages come in slowly: raise the number of parallel fetches or shorten their timeout'),
+          ('snapshot_to_poll', 10.0, 'Pages come in slowly: raise the number of parallel fetches or shorten their timeout'),
+          ('poll_to_data', 10.0, 'Pages come in slowly: raise the number of parallel fetches or shorten their timeout'),
+          ('total_scrape_time', 10.0, 'Pages come in slowly: raise the number of parallel fetches or shorten their timeout'),
+          ('parse_converttodict_duration', 0.1, 'Converting answers takes long: move it off the thread that waits for them'),
+          ('filter_enqueue_to_dequeue', 1.0, 'Calls wait in the queue: allow the model service more calls at once'),
+          ('parse_enqueue_to_dequeue', 1.0, 'Calls wait in the queue: allow the model service more calls at once'),
           ('filter_to_parse_gap', 0.1, NULL)) l(phase, t, r) ON l.phase = s.phase""".replace("SELECT s.*,", "SELECT s.phase, n, min, max, avg, std,"),
 )
 def job6(spark, folder):
@@ -292,5 +337,5 @@ def job6(spark, folder):
 )
 def job7(spark, folder):
     pages = tables.table(spark, folder, "pages")
-    ranked = jobs.compare_strategies(pages, extract.labelled_blocks(pages, LABEL_WORDS), FIELDS)
+    ranked = jobs.compare_strategies(pages, LABEL_WORDS, FIELDS)
     return ranked.select("strategy", "score", "rank")

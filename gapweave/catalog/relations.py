@@ -388,13 +388,13 @@ def a16_rows(spark, folder):
     f"""SELECT phase, max AS max_duration, avg AS avg_duration, threshold,
         CASE WHEN max > threshold * CASE WHEN threshold = 10 THEN 3 ELSE 5 END THEN 'high' ELSE 'medium' END AS concern_level,
         recommendation FROM {PHASE_STATS} JOIN (VALUES
-          ('request_to_snapshot', 10.0::DOUBLE, 'Consider optimizing scraping timeouts or concurrency'),
-          ('snapshot_to_poll', 10.0, 'Consider optimizing scraping timeouts or concurrency'),
-          ('poll_to_data', 10.0, 'Consider optimizing scraping timeouts or concurrency'),
-          ('total_scrape_time', 10.0, 'Consider optimizing scraping timeouts or concurrency'),
-          ('parse_converttodict_duration', 0.1, 'Consider making converttodict operation async or running in thread pool'),
-          ('filter_enqueue_to_dequeue', 1.0, 'Consider increasing LLM service concurrency limits'),
-          ('parse_enqueue_to_dequeue', 1.0, 'Consider increasing LLM service concurrency limits'),
+          ('request_to_snapshot', 10.0::DOUBLE, 'Pages come in slowly: raise the number of parallel fetches or shorten their timeout'),
+          ('snapshot_to_poll', 10.0, 'Pages come in slowly: raise the number of parallel fetches or shorten their timeout'),
+          ('poll_to_data', 10.0, 'Pages come in slowly: raise the number of parallel fetches or shorten their timeout'),
+          ('total_scrape_time', 10.0, 'Pages come in slowly: raise the number of parallel fetches or shorten their timeout'),
+          ('parse_converttodict_duration', 0.1, 'Converting answers takes long: move it off the thread that waits for them'),
+          ('filter_enqueue_to_dequeue', 1.0, 'Calls wait in the queue: allow the model service more calls at once'),
+          ('parse_enqueue_to_dequeue', 1.0, 'Calls wait in the queue: allow the model service more calls at once'),
           ('filter_to_parse_gap', 0.1, NULL)) t(phase, threshold, recommendation) USING (phase) WHERE max > threshold""",
 )
 def a17(spark, folder):

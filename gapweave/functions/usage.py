@@ -58,6 +58,7 @@ def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+# The texts of a run's state.
 def status_text(status, serp_done, scraping, extracting, extracted, failed, found, errors) -> Column:
     """One line telling how far a run has come."""
     active = F.concat_ws(

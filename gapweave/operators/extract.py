@@ -175,12 +175,33 @@ def parse_rows(pages: DataFrame, fields: list[Field], text: str, page: str) -> D
     return rows.select("url", "field", F.posexplode_outer("matches").alias("pos", "value"))
 
 
+def _escaped(name: str) -> str:
+    """A name inside a quoted step of a JSON path."""
+    return name.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def vendor_content(data: Column, fields: list[Field]) -> Column:
+    """Vendor JSON as ``map<field, array<string>>`` of exactly the wanted fields.
+
+    Any JSON counts as one record (of a list of objects, later ones win); a missing
+    key is null, and so is a value that fails the field's validation.
+    """
+    record = content.normalise(data)
+
+    def values(f: Field) -> Column:
+        value = F.try_element_at(record, F.lit(f.name))
+        ok = value.isNotNull() & (value.rlike(f.validator) if f.validator else F.lit(True))
+        return F.when(ok, F.array(value))
+
+    return F.create_map(*[c for f in fields for c in (F.lit(f.name), values(f))])
+
+
 def extract_json(rows: DataFrame, fields: list[Field], column: str = "j") -> DataFrame:
     """Pick the wanted keys of a JSON object; anything else is a failed row."""
     kind = content.json_kind(F.col(column))
     value = F.try_parse_json(F.col(column))
     picked = F.create_map(
-        *[c for f in fields for c in (F.lit(f.name), F.try_variant_get(value, f"$['{f.name}']", "string"))]
+        *[c for f in fields for c in (F.lit(f.name), F.try_variant_get(value, f"$['{_escaped(f.name)}']", "string"))]
     )
     return (
         rows.withColumn("success", F.coalesce(kind == "object", F.lit(False)))
@@ -326,12 +347,33 @@ def score_filters(outputs: DataFrame, labelled: DataFrame) -> DataFrame:
     """Points of each filter output against the labelled blocks of its page.
 
     ``labelled`` has one row per page: all its blocks and the relevant ones.
+    For labels from outside; see ``score_strategies`` for those read from the page.
     """
-    rows = outputs.join(labelled, "url").withColumn(
-        "kept",
-        F.array_distinct(F.filter(F.split("filtered", SEPARATOR), lambda b: (b != "") & (b != NO_CONTENT))),
-    )
+    kept = F.array_distinct(F.filter(F.split("filtered", SEPARATOR), lambda b: (b != "") & (b != NO_CONTENT)))
+    return _points(outputs.join(labelled, "url").withColumn("kept", kept))
+
+
+def score_strategies(
+    pages: DataFrame, fields: list[Field], strategies: tuple[str, ...], label_words: list[str], body: str = "html"
+) -> DataFrame:
+    """Points of each strategy against the blocks that mention a label word.
+
+    Blocks are cut, filtered and compared in the page's own row: one scan, no text is shuffled.
+    """
+    rows = mark_blocks(pages, body, [words_of(fields), label_words])
+
+    def texts(blocks: Column) -> Column:
+        return F.transform(blocks, lambda b: b["block"])
+
+    cells = [
+        F.struct(F.lit(s).alias("strategy"), F.array_distinct(F.filter(texts(kept_blocks(s)), lambda b: b != "")).alias("kept"))
+        for s in map(known_strategy, strategies)
+    ]
+    relevant = texts(F.filter("_blocks1", lambda b: b["hit"]))
+    return _points(rows.select("url", texts(F.col("_blocks1")).alias("blocks"), relevant.alias("relevant"), F.inline(F.array(*cells))))
+
 
+def _points(rows: DataFrame) -> DataFrame:
     def share(part, whole):
         return F.coalesce(F.try_divide(F.size(part), F.size(whole)), F.lit(1.0))
 

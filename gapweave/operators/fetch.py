@@ -184,19 +184,23 @@ def with_failed_rows(asked: DataFrame, answers: DataFrame) -> DataFrame:
 # --- reasons ------------------------------------------------------------------
 
 
-def failure_reasons(scrapes: DataFrame) -> DataFrame:
-    """One reason per link that brought nothing."""
+def failure_reason() -> Column:
+    """Why a link brought nothing; null if it brought something."""
     where = F.concat(F.substring("url", 1, 50), F.lit("...: "))
     # an empty list or object is data that was returned, but holds nothing
     empty = content.json_kind(F.col("data")).isin("list", "object") & (
         F.regexp_replace("data", r"\s+", "").isin("[]", "{}")
     )
-    reason = (
+    return (
         F.when(~F.col("success"), F.concat(where, F.coalesce("error", F.lit("Unknown error"))))
         .when(F.coalesce(F.length("data"), F.lit(0)) == 0, F.concat(where, F.lit("No data returned")))
         .when((F.col("data_kind") != "html") & empty, F.concat(where, F.lit("Empty data")))
     )
-    return scrapes.select(*KEY, reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def failure_reasons(scrapes: DataFrame) -> DataFrame:
+    """One reason per link that brought nothing."""
+    return scrapes.select(*KEY, failure_reason().alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def numbered_texts(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:

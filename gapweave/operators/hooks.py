@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from ..config import Field
 
 EXTRACTED = "entity_id long, url string, success boolean, error string, content string"
+# rows that are handed on at once, so that few bodies are held
+FRAME = 50
 FETCHED = "url string, success boolean, status string, data string, cost double, error string"
 
 
@@ -33,9 +35,11 @@ def extract_with(pages: DataFrame, extractor: Callable, fields: list[Field]) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            results = [one(t) for t in batch["data"]]
-            out = pd.DataFrame(results, columns=["success", "error", "content"], index=batch.index)
-            yield pd.concat([batch[["entity_id", "url"]], out], axis=1)
+            for k in range(0, len(batch), FRAME):
+                part = batch.iloc[k : k + FRAME]
+                results = [one(t) for t in part["data"]]
+                out = pd.DataFrame(results, columns=["success", "error", "content"], index=part.index)
+                yield pd.concat([part[["entity_id", "url"]], out], axis=1)
 
     return pages.select("entity_id", "url", "data").mapInPandas(run, EXTRACTED)
 
@@ -54,6 +58,8 @@ def fetch_with(links: DataFrame, fetcher: Callable, concurrent: int) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["url", "success", "status", "data", "cost", "error"]
         for batch in batches:
-            yield pd.DataFrame([one(u) for u in batch["url"]], columns=columns)
+            urls = batch["url"].tolist()
+            for k in range(0, len(urls), FRAME):
+                yield pd.DataFrame([one(u) for u in urls[k : k + FRAME]], columns=columns)
 
     return links.select("url").repartition(concurrent).mapInPandas(run, FETCHED)

@@ -28,9 +28,9 @@ EXTRACT_PHASES = (
     ("filter_to_parse_gap", "filter_requested", "parse_requested"),
 )
 # … and limits in seconds as (phase, limit, limit of high concern, advice)
-SCRAPE_ADVICE = "Consider optimizing scraping timeouts or concurrency"
-QUEUE_ADVICE = "Consider increasing LLM service concurrency limits"
-CONVERT_ADVICE = "Consider making converttodict operation async or running in thread pool"
+SCRAPE_ADVICE = "Pages come in slowly: raise the number of parallel fetches or shorten their timeout"
+QUEUE_ADVICE = "Calls wait in the queue: allow the model service more calls at once"
+CONVERT_ADVICE = "Converting answers takes long: move it off the thread that waits for them"
 LIMITS = (
     ("request_to_snapshot", 10.0, 30.0, SCRAPE_ADVICE),
     ("snapshot_to_poll", 10.0, 30.0, SCRAPE_ADVICE),

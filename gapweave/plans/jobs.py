@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FAILED, FINISHED, MODE_DISABLED, MODE_ONLY, RUNNING, Field, RunConfig
-from ..functions import urls
-from ..functions.usage import rate
+from ..functions import content, urls
+from ..functions.usage import cost_per, exact_sum, extract_cost, rate
 from ..operators import extract, fetch, gather, log, metrics, search, timing
 from ..session import hand_over, scratch_dir
 from ..sources import tables
 from ..streaming import streams
 
+# The error texts of a run.
 NO_RESULTS = "SERP failed: No results found"
 NO_SCRAPES = "No successful scrapes"
 NO_EXTRACTS = "No successful extractions"
@@ -28,12 +29,13 @@ FAST_NO_RESULTS = "Fast path failed: No results returned"
 
 @dataclass
 class Run:
-    """What one run leaves behind: links, page results, fused values, a row per entity."""
+    """What one run leaves behind: links, page results, fused values, a row and the costs per entity."""
 
     links: DataFrame
     results: DataFrame
     values: DataFrame
     runs: DataFrame
+    costs: DataFrame
 
 
 # --- search, fetch, extract, gather -----------------------------------------------------
@@ -44,12 +46,12 @@ def queries_of(entities: DataFrame) -> DataFrame:
     return tables.valid_entities(entities).select("entity_id", query.alias("name"))
 
 
-def page_results(pages: DataFrame, fields: list[Field], config: RunConfig) -> DataFrame:
+def page_results(pages: DataFrame, fields: list[Field], config: RunConfig, keep: list[str] = ()) -> DataFrame:
     """Gate and extract each page once, whoever asked for it; bodies end here."""
-    rows = fetch.size_gate(pages.select("url", F.col("html").alias("data")), config.min_page_chars)
+    rows = fetch.size_gate(pages.select("url", F.col("html").alias("data"), *keep), config.min_page_chars)
     rows = rows.withColumn("data", F.when(F.col("passed"), F.col("data")))
     done = extract.with_content(rows, fields, config)
-    return done.select("url", "n_chars", "passed", "gate_error", *extract.EXTRACT_COLUMNS)
+    return done.select("url", "n_chars", "passed", "gate_error", *keep, *extract.EXTRACT_COLUMNS)
 
 
 def link_results(links: DataFrame, per_page: DataFrame) -> DataFrame:
@@ -93,19 +95,123 @@ def run_rows(entities: DataFrame, results: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(ok, FINISHED).otherwise(FAILED)).withColumn("error", error)
 
 
-def impute_batch(entities: DataFrame, fields: list[Field], pages: DataFrame, config: RunConfig) -> Run:
-    """The whole way from entities to values, for any number of entities.
+COSTS = ("serp_cost", "scrape_cost", "extraction_cost")
+
 
-    Pages are extracted once per link and only if some entity asked for them;
-    afterwards only short results are joined back to the requests.
+def run_costs(runs: DataFrame, search_usage: DataFrame | None, fetched: DataFrame, model_usage: DataFrame | None) -> DataFrame:
+    """Search, fetch and extraction cost of each entity, their sum, and the cost of a success.
+
+    ``search_usage(entity_id, cost)``, ``fetched(entity_id, url, cost)`` and
+    ``model_usage(entity_id, usage)`` are what the outside services reported; an
+    unknown cost counts as 0.
     """
-    found = search.search_links(
-        queries_of(entities), pages, config.top_k, config.interleave, config.deduplicate
+
+    def per_entity(rows: DataFrame | None, cost: str) -> DataFrame | None:
+        return rows and rows.groupBy("entity_id").agg(exact_sum(F.coalesce("cost", F.lit(0.0))).alias(cost))
+
+    model = model_usage and model_usage.select("entity_id", extract_cost(F.col("usage")).alias("cost"))
+    out = runs.select("entity_id", "urls_extracted")
+    for rows, cost in zip((search_usage, fetched, model), COSTS):
+        part = per_entity(rows, cost)
+        out = out.join(part, "entity_id", "left") if part else out.withColumn(cost, F.lit(0.0))
+    out = out.withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 6) for c in COSTS})
+    total = F.round(sum((F.col(c) for c in COSTS[1:]), F.col(COSTS[0])), 6)
+    return out.withColumn("total_cost", total).select(
+        "entity_id", *COSTS, "total_cost", cost_per(F.col("total_cost"), F.col("urls_extracted")).alias("cost_per_successful_extraction")
     )
-    links = hand_over(found.select("entity_id", F.col("link").alias("url"), "channel", "pos"))
-    asked = pages.join(links.select("url").distinct(), "url", "left_semi")
-    results = link_results(links, hand_over(page_results(asked, fields, config)))
-    return Run(links, results, fused_values(results, config), run_rows(entities, results))
+
+
+def fast_results(entities: DataFrame, answers: DataFrame, fields: list[Field], config: RunConfig) -> DataFrame:
+    """Vendor answers as result rows: JSON by its keys, pages by the usual extraction."""
+    requests = fetch.fast_path_requests(tables.valid_entities(entities), config.fast_path.domains).select("entity_id", "url")
+    costs = answers if "cost" in answers.columns else answers.withColumn("cost", F.lit(0.0))
+    got = requests.join(costs.select("url", "success", "data", "data_kind", "cost", "error"), "url")
+    reason = fetch.failure_reason().alias("_reason")
+    fits = content.fast_path_usable(F.col("success"), F.col("data"), F.col("data_kind"), config.fast_path.min_result_size)
+    rows = got.select("entity_id", "url", "data", "data_kind", "cost", F.col("success").alias("fetched"), fits.alias("passed"), reason)
+    is_page = F.col("data_kind") == "html"
+    rows = rows.withColumn("_json", F.when(F.col("passed") & ~is_page, F.col("data")))
+    rows = rows.withColumn("n_chars", F.length("data")).withColumn("data", F.when(F.col("passed") & is_page, F.col("data")))
+    done = extract.with_content(rows, fields, config)
+    merged = F.when(F.col("_json").isNotNull(), extract.vendor_content(F.col("_json"), fields)).otherwise(F.col("content"))
+    done = hand_over(done.withColumn("content", merged).drop("data", "_json", "_body", "_cut"))
+    found = F.exists(F.map_values("content"), lambda v: v.isNotNull())
+    fetched = F.coalesce("fetched", F.lit(False))
+    return done.select(
+        "entity_id", "url", F.lit("fast_path").alias("channel"), F.lit(0).alias("pos"), fetched.alias("fetched"), "passed", "n_chars", "cost",
+        F.when(fetched, "ready").otherwise("failed").alias("status"), F.coalesce(found, F.lit(False)).alias("success"),
+        F.coalesce("_reason", F.when(~F.coalesce(found, F.lit(False)), F.lit(extract.NOTHING_FOUND))).alias("error"),
+        "content", "trimmed_to", "reduced", "strategy", "filtered_chars", "stage_tokens",
+    )
+
+
+def page_answers(pages: DataFrame) -> DataFrame:
+    """The page store as vendor answers, for runs that have fetched the vendors' links like any other."""
+    cost = F.col("cost") if "cost" in pages.columns else F.lit(0.0)
+    return pages.select(
+        "url", F.lit(True).alias("success"), F.col("html").alias("data"), F.lit("html").alias("data_kind"), cost.alias("cost"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
+def with_fast_path(normal: DataFrame, fast: DataFrame) -> DataFrame:
+    return normal.unionByName(fast, allowMissingColumns=True)
+
+
+def fast_only_rows(rows: DataFrame, outcome: DataFrame, results: DataFrame) -> DataFrame:
+    """Run rows where only the vendors are asked: finished if anything came back, with the reasons as error."""
+    # a vendor answer per domain at most, so a run has a handful of reasons
+    reasons = results.filter(F.col("error").isNotNull()).groupBy("entity_id").agg(
+        F.array_join(F.array_sort(F.collect_list("error")), "; ").alias("_reasons")
+    )
+    fast = outcome.select("entity_id", F.col("status").alias("_status"), F.col("error").alias("_error"))
+    joined = rows.join(fast, "entity_id", "left").join(reasons, "entity_id", "left")
+    # an entity without a name was never asked about
+    status = F.coalesce("_status", F.lit(FAILED))
+    return joined.withColumn("status", status).withColumn("error", F.coalesce("_error", "_reasons", F.when(F.col("_status").isNull(), F.col("error")))).drop(
+        "_status", "_error", "_reasons"
+    )
+
+
+def impute_batch(
+    entities: DataFrame,
+    fields: list[Field],
+    pages: DataFrame,
+    config: RunConfig,
+    answers: DataFrame | None = None,
+    search_usage: DataFrame | None = None,
+    model_usage: DataFrame | None = None,
+) -> Run:
+    """The whole way from entities to values, for any number of entities.
+
+    With a fast path the vendors' ``answers(url, success, data, data_kind, error, cost?)``
+    come first (the page store stands in for missing ones), and only entities that
+    they don't serve are searched for.  Pages are extracted once per link and only
+    if some entity asked for them; afterwards only short results are joined back.
+    """
+    mode = config.fast_path.mode
+    fast = outcome = None
+    rest = entities
+    if mode != MODE_DISABLED:
+        given = page_answers(pages) if answers is None else answers
+        outcome = hand_over(fast_path(entities, given, config))
+        fast = fast_results(entities, given, fields, config)
+        rest = entities.join(outcome.filter("goes_on").select("entity_id"), "entity_id", "left_semi")
+    costs = ["cost"] if "cost" in pages.columns else []
+    if mode == MODE_ONLY:
+        results, links = fast, fast.select("entity_id", "url", "channel", "pos")
+    else:
+        found = search.search_links(queries_of(rest), pages, config.top_k, config.interleave, config.deduplicate)
+        links = hand_over(found.select("entity_id", F.col("link").alias("url"), "channel", "pos"))
+        asked = pages.join(links.select("url").distinct(), "url", "left_semi")
+        results = link_results(links, hand_over(page_results(asked, fields, config, costs)))
+        if fast is not None:
+            results, links = with_fast_path(results, fast), links.unionByName(fast.select("entity_id", "url", "channel", "pos"))
+    runs = run_rows(entities, results)
+    if mode == MODE_ONLY:
+        runs = fast_only_rows(runs, outcome, results)
+    fetched = results.select("entity_id", "url", F.col("cost") if "cost" in results.columns else F.lit(0.0).alias("cost"))
+    return Run(links, results, fused_values(results, config), runs, run_costs(runs, search_usage, fetched, model_usage))
 
 
 def impute_stream(
@@ -127,7 +233,9 @@ def impute_stream(
     streams.append_files(done, path)
     per_page = pages.sparkSession.read.schema(done.schema).parquet(path)
     results = link_results(links, per_page)
-    return Run(links, results, fused_values(results, config), run_rows(entities, results))
+    runs = run_rows(entities, results)
+    unpaid = results.select("entity_id", "url", F.lit(0.0).alias("cost"))
+    return Run(links, results, fused_values(results, config), runs, run_costs(runs, None, unpaid, None))
 
 
 def fill_table(target: DataFrame, values: DataFrame, fields: list[str]) -> DataFrame:
@@ -221,10 +329,9 @@ def profile_run(times: DataFrame) -> DataFrame:
     return timing.judged_phases(timing.phase_statistics(times))
 
 
-def compare_strategies(pages: DataFrame, labelled: DataFrame, fields: list[Field]) -> DataFrame:
-    """All filter strategies measured against labelled blocks and ranked."""
-    outputs = extract.filter_pages(pages, fields, extract.STRATEGIES)
-    return extract.strategy_ranking(extract.score_filters(outputs, labelled))
+def compare_strategies(pages: DataFrame, label_words: list[str], fields: list[Field]) -> DataFrame:
+    """All filter strategies measured against the blocks with a label word, and ranked."""
+    return extract.strategy_ranking(extract.score_strategies(pages, fields, extract.STRATEGIES, label_words))
 
 
 def host_profile(pages: DataFrame, fields: list[Field], min_chars: int) -> DataFrame:
@@ -249,18 +356,17 @@ def log_tables(run: Run, entities: DataFrame, fields: list[Field], started, fini
     day = F.lit(started).cast("date").alias("run_date")
     as_run = F.col("entity_id").alias("run_id")
     found, scraped, extracted = F.col("urls_found"), F.col("urls_scraped"), F.col("urls_extracted")
-    nothing = F.lit(0.0)
     flat = (
-        run.runs.join(queries_of(entities).withColumnRenamed("name", "query"), "entity_id", "left")
+        run.runs.join(run.costs, "entity_id")
+        .join(queries_of(entities).withColumnRenamed("name", "query"), "entity_id", "left")
         .withColumn("run_id", F.col("entity_id"))
         .withColumn("success", F.col("status") == FINISHED)
-        .withColumn("urls_failed", found - extracted)
+        .withColumn("urls_failed", found - scraped)  # links that could not be fetched
         .withColumn("successful_scrapes", scraped)
         .withColumn("successful_extractions", extracted)
         .withColumn("scrape_success_rate", rate(scraped, found))
         .withColumn("extraction_success_rate", rate(extracted, scraped))
         .withColumn("overall_success_rate", rate(extracted, found))
-        .withColumns({c: nothing for c in log.COSTS})
         .withColumn("created_at", F.lit(started))
         .withColumn("completed_at", F.lit(finished))
     )

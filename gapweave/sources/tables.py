@@ -17,14 +17,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+# A table of fewer splits is small enough to be shuffled whole.
+FEW_SPLITS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that has fewer splits than there are cores.
+    """Give every core a share of a table of a few splits.
 
     A small table is often one row group and would be worked on by one task.
-    Tables with enough splits are left alone.
+    However many cores there are, larger tables are left alone; their splits are
+    set by ``spark.sql.files.maxPartitionBytes``.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
 
 
 def entities_from_names(df: DataFrame, id_col: str, name_col: str) -> DataFrame:

@@ -92,6 +92,30 @@ def test_fast_path_modes(spark):
     assert [r.reason for r in reasons] == [(base + "empty")[:50] + "...: Empty data"]
 
 
+def test_vendors_first_in_a_whole_run(spark, pages):
+    base = "https://www.digikey.com/en/products/result?keywords="
+    entities = spark.createDataFrame([(1, "good", None, None), (2, "BAV99", None, None), (3, "none", None, None), (4, " ", None, None)], ENTITY)
+    answers = spark.createDataFrame(
+        [(base + "good", True, '[{"voltage":"1V"},{"voltage":"9V","x":2}]', "json", None, 0.5), (base + "BAV99", True, "[]", "json", None, 0.25)],
+        "url string, success boolean, data string, data_kind string, error string, cost double",
+    )
+    usage = spark.createDataFrame([(2, {"total_cost": 4e-7}), (2, {"cost": 4e-7})], "entity_id long, usage map<string,double>")
+    searched = spark.createDataFrame([(2, 1.0)], "entity_id long, cost double")
+    fallback = RunConfig(top_k=5, min_page_chars=200, fast_path=FastPath(mode=MODE_FALLBACK))
+    run = jobs.impute_batch(entities, VOLTAGE, pages, fallback, answers, searched, usage)
+    assert {r.entity_id: r.value for r in run.values.collect()} == {1: "9V", 2: "80V"}
+    runs = {r.entity_id: (r.status, r.error) for r in run.runs.collect()}
+    assert runs == {1: ("finished", None), 2: ("finished", None), 3: ("failed", jobs.NO_RESULTS), 4: ("failed", jobs.NO_RESULTS)}
+    costs = {r.entity_id: (r.serp_cost, r.scrape_cost, r.extraction_cost, r.total_cost) for r in run.costs.collect()}
+    assert costs[1] == (0.0, 0.5, 0.0, 0.5) and costs[2] == (1.0, 0.25, 1e-6, 1.250001) and costs[3] == (0.0, 0.0, 0.0, 0.0)
+    only = jobs.impute_batch(entities, VOLTAGE, pages, RunConfig(fast_path=FastPath(mode=MODE_ONLY)), answers)
+    runs = {r.entity_id: (r.status, r.error) for r in only.runs.collect()}
+    assert runs == {
+        1: ("finished", None), 2: ("finished", (base + "BAV99")[:50] + "...: Empty data"),
+        3: ("failed", jobs.FAST_NO_RESULTS), 4: ("failed", jobs.NO_RESULTS),
+    }
+
+
 def test_budget_flow(spark):
     page = "<title>t</title>" + "<p>Voltage: 75V</p>" * 20
     schema = "entity_id long, url string, status string, success boolean, data string, cost double, error string, data_kind string"
