@@ -147,25 +147,11 @@ def run_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour
     )
 
 
-PROGRESS = "run_id long, n_events long, extracted long, ts timestamp"
 STATE = "status string, n_events long, extracted long, last_micros long"
 TRANSITION = "run_id long, status string, n_events long, extracted long"
 TRANSITION_COLUMNS = ["run_id", "status", "n_events", "extracted"]
 
 
-def progress(events: DataFrame) -> DataFrame:
-    """Events counted per run within each Arrow batch, so that a run with very
-    many of them sends a few rows on."""
-
-    def count(batches):
-        for rows in batches:
-            rows["hit"] = rows["stage"] == "extracted"
-            per = rows.groupby("run_id", as_index=False).agg(n_events=("hit", "size"), extracted=("hit", "sum"), ts=("ts", "max"))
-            yield per.astype({"extracted": "int64"})
-
-    return events.select("run_id", "stage", "ts").mapInPandas(count, PROGRESS)
-
-
 def lifecycle(events: DataFrame, timeout_ms: int = 30 * 60 * 1000, late: str = "1 hour") -> DataFrame:
     """Each run's state as it changes: initializing, running, finished, failed.
 
@@ -181,7 +167,7 @@ def lifecycle(events: DataFrame, timeout_ms: int = 30 * 60 * 1000, late: str = "
                 yield pd.DataFrame([(key[0], FAILED, n, extracted)], columns=TRANSITION_COLUMNS)
             return
         for chunk in chunks:
-            n += int(chunk["n_events"].sum())
+            n += len(chunk)
             extracted += int(chunk["extracted"].sum())
             last = max(last, int(chunk["micros"].max()))
         now = FINISHED if extracted else RUNNING
@@ -191,9 +177,10 @@ def lifecycle(events: DataFrame, timeout_ms: int = 30 * 60 * 1000, late: str = "
             state.setTimeoutTimestamp(due)
         yield pd.DataFrame([(key[0], now, n, extracted)], columns=TRANSITION_COLUMNS)
 
-    timed = progress(with_event_time(events)).withWatermark("ts", late)
+    # every event comes with its own time, so that lateness does not depend on how rows are batched
+    timed = with_event_time(events).withWatermark("ts", late)
     return (
-        timed.withColumn("micros", F.unix_micros("ts"))
+        timed.select("run_id", (F.col("stage") == "extracted").cast("long").alias("extracted"), "ts", F.unix_micros("ts").alias("micros"))
         .groupBy("run_id")
         .applyInPandasWithState(step, TRANSITION, STATE, "update", GroupStateTimeout.EventTimeTimeout)
     )
