@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import hand_over, prepare
+from ..session import hand_over
+from .batches import prepare_texts
 from .text import as_bytes, whole_groups
 
 # Characters of a stretch that are encoded at once; longer ones are halved.
@@ -41,7 +42,7 @@ PART = 2048
 # Bytes of a text that one task encodes on its own.
 LONG = 1 << 16
 # Remembered words, and as many stretches: two generations of at most so many.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 WORD_END = "</w>"
 
 # Fixed by the vocabulary file: its special tokens and its splitting rule, for lower-case Latin.
@@ -306,7 +307,7 @@ def encode_long(docs: DataFrame, path: str, text: str, ids: str) -> DataFrame:
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text in ``ids``, as little-endian unsigned 32-bit integers."""
-    prepare(docs.sparkSession)
+    prepare_texts(docs.sparkSession)
     path = path or default_path()
     short = docs.filter(~_is_long(text)).withColumn(ids, _encode_column(path)(F.col(text)))
     return short.unionByName(encode_long(docs.filter(_is_long(text)), path, text, ids))
@@ -359,7 +360,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         return pa.array([_digest(i, enc) for i in ids.to_pylist()], kind)
 
     rows = docs.select("doc_id", "text")
-    prepare(docs.sparkSession)
+    prepare_texts(docs.sparkSession)
     long = encode_long(rows.filter(_is_long("text")), path, "text", "ids")
     found = [
         rows.filter(~_is_long("text")).select("doc_id", of_texts("text").alias("d")),

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import hand_over, prepare
+from ..session import hand_over
+from .batches import prepare_texts
 from .text import as_bytes
 
 SAMPLE = 3000
@@ -165,6 +166,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int) -
 
 def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True), label: str = "quality") -> Model:
     """Learn from at most ``SAMPLE`` labelled documents; repeated documents add at most as many again."""
+    prepare_texts(docs.sparkSession)
     sample = hand_over(labelled(docs, labels, label, learn, SAMPLE))
     rows = sample.orderBy(F.xxhash64("text"), "label").limit(SAMPLE).withColumn("terms", _terms("text"))
     found = rows.select("terms", "label").toPandas()
@@ -179,7 +181,7 @@ def _terms(texts: pa.Array) -> pa.Array:
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with a score between 0 and 1."""
-    prepare(docs.sparkSession)
+    prepare_texts(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())

@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import hand_over, prepare
+from ..session import hand_over
+from .batches import prepare_texts
 
 QUOTED = re.compile(r"\s*((?:>[ \t]?)+)(.*)")
 ANNOUNCES = re.compile(r"\s*\S.*\b(wrote|said|schrieb|a écrit|escribió)\s*:\s*")
@@ -103,7 +104,7 @@ def parsed(texts: pa.Array) -> pa.Array:
 
 def messages(conversations: DataFrame) -> DataFrame:
     """The distinct messages with a number, parsed and written."""
-    prepare(conversations.sparkSession)
+    prepare_texts(conversations.sparkSession)
     own = conversations.select("conv_id", "turn", "role", "text").distinct()
     numbered = own.withColumn("id", F.xxhash64(F.isnull("conv_id"), "conv_id", F.isnull("turn"), "turn", "role", "text"))
     return hand_over(numbered.withColumn("p", parsed.asNondeterministic()("text")).select("conv_id", "turn", "role", "id", "p.*"))

@@ -29,7 +29,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import hand_over, prepare, scratch_dir
+from ..session import hand_over, scratch_dir
+from .batches import prepare_texts
 from .bpe import default_path, encoder
 from .text import as_bytes
 
@@ -155,7 +156,7 @@ def write_sequences(
     end_id: int = END_ID,
 ) -> DataFrame:
     """Write the files; the manifest ``nr, name, docs, tokens, start`` has a row for each, in order."""
-    prepare(docs.sparkSession)
+    prepare_texts(docs.sparkSession)
     keyed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("at"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text"), F.col("at")]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

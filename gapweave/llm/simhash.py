@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import hand_over, prepare
+from ..session import hand_over
+from .batches import prepare_texts
 from .components import smallest_reachable
 from .text import as_bytes, whole_groups
 
@@ -153,7 +154,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     ``tid`` is a hash of the text, ``root`` the least fingerprint of the component.
     """
-    prepare(docs.sparkSession)
+    prepare_texts(docs.sparkSession)
     printed = hand_over(
         docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tid"), simhash(text).alias("bits"))
     )

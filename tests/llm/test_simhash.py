@@ -42,7 +42,7 @@ def result(df):
 def near_copies():
     rng = random.Random(3)
     vocabulary = [f"word{i}" for i in range(300)]
-    rows = [(9000, None), (9001, ""), (9002, " \t"), (None, "one two"), (None, "one two"), (None, "lonely words here now")]
+    rows = [(90000, None), (90001, ""), (90002, " \t"), (None, "one two"), (None, "one two"), (None, "lonely words here now")]
     for k in range(30):
         base = [rng.choice(vocabulary) for _ in range(rng.choice([4, 60, 400]))]
         for c in range(rng.choice([1, 1, 5, 12])):
