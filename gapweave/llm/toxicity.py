@@ -14,12 +14,13 @@ the landmarks, turned by the inverse root of the landmarks' own kernel matrix
 (Nystroem), are the features of a linear machine with squared hinge loss.  A label
 belongs to a whole document, so the machine learns from the stretch of each
 document labelled 1 that it finds most toxic, and from several such stretches of
-each document labelled 0, in a few rounds.  Its decision is a weighted sum of
+each document labelled 0, in a few rounds.  Each toxic stretch is learnt a second
+time with a letter or separator put in, so that disturbed spellings pass too.  Its decision is a weighted sum of
 kernel values with the landmarks, thus a sum of one weight for each subsequence;
 those weights are what every stretch of every document is scored with.
 
 A document's score is that of its most toxic stretch, set so that 0.5 parts the
-training documents best.  Whole texts count.  Null and empty texts score like a text
+training documents best (a false alarm counts ``FALSE_ALARM`` times a miss).  Whole texts count.  Null and empty texts score like a text
 without letters.  Training uses at most ``TOXIC`` documents labelled 1 and ``CLEAN``
 labelled 0, of at most ``TRAIN_BYTES`` bytes each, those with the least hash of their
 id.  If one of the labels is missing there, the score is the share of label 1, or
@@ -40,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import hand_over, prepare
+from ..session import hand_over
+from .batches import prepare_texts
 from .quality import held_out, labelled
 from .text import as_bytes
 
@@ -53,6 +55,10 @@ TOXIC, CLEAN = 1000, 1500
 TRAIN_BYTES = 20_000
 LANDMARKS, PLAIN_LANDMARKS = 260, 60
 ROUNDS = 5
+# what a share of documents wrongly called toxic counts against the same share of toxic ones missed
+FALSE_ALARM = 3.0
+# copies of each toxic stretch with an inserted letter or separator, to learn from
+DISTURBED = 1
 THRESHOLD = 0.5
 BITS = 5
 # letters scored at once, so that the arrays stay in the processor's cache
@@ -218,11 +224,13 @@ def fit_model(texts: list[bytes | None], labels: np.ndarray) -> Model:
     c, starts = padded(docs)
     spans = list(zip(starts, [*starts[1:], len(c)]))
 
-    def features(places: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(places), len(marks)))
+    def stretches(places: np.ndarray) -> np.ndarray:
+        return c[np.minimum(places[:, None] + np.arange(STRETCH + SPAN - 1), len(c) - 1)]
+
+    def features(found: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(found), len(marks)))
         for step in range(STRETCH):
-            at = np.minimum(places + step, len(c) - SPAN)
-            window = c[at[:, None] + np.arange(SPAN)]
+            window = found[:, step : step + SPAN]
             for _, i, j, k in PATTERNS:
                 number = ((window[:, 0] << BITS | window[:, i]) << BITS | window[:, j]) << BITS | window[:, k]
                 rows = row_of[number]
@@ -230,6 +238,7 @@ def fit_model(texts: list[bytes | None], labels: np.ndarray) -> Model:
                 out[hit] += DECAY ** (k + 1 - LENGTH) * inside[rows[hit]]
         return out @ root
 
+    rng = np.random.default_rng(5)
     spread = np.zeros(size, np.float32)
     # first guess: landmarks that only occur in documents labelled 1
     first = np.array([1.0 if t else 0.0 for t in _telling(marks, docs, y)])
@@ -249,20 +258,31 @@ def fit_model(texts: list[bytes | None], labels: np.ndarray) -> Model:
                 (positives if label > 0 else negatives).append(lo + best)
                 own[max(best - STRETCH, 0) : best + STRETCH] = -np.inf
         worst = np.unique(negatives)
-        places = np.concatenate([np.array(positives), worst])
-        w = _machine(features(places), np.concatenate([np.ones(len(positives)), -np.ones(len(worst))]))
+        toxic = stretches(np.array(positives))
+        toxic = np.concatenate([toxic, *(_disturbed(toxic, rng) for _ in range(DISTURBED))])
+        w = _machine(features(np.concatenate([toxic, stretches(worst)])), np.concatenate([np.ones(len(toxic)), -np.ones(len(worst))]))
         spread[numbers] = inside @ (root @ w[:-1])
     top = np.maximum.reduceat(stretch_scores(c, spread), starts)
     order = np.sort(top)
     cuts = (order[1:] + order[:-1]) / 2
-    right = [np.mean(top[y > 0] >= t) + np.mean(top[y < 0] < t) for t in cuts]
-    best = np.flatnonzero(np.isclose(right, max(right)))
-    middle = float(cuts[best].mean()) if len(best) else 0.0
-    middle = middle if len(best) and best[-1] - best[0] == len(best) - 1 else float(cuts[best[0]])
+    right = np.array([np.mean(top[y > 0] >= t) - FALSE_ALARM * np.mean(top[y < 0] >= t) for t in cuts])
+    best = int(np.argmax(right))
+    middle = float(cuts[best])
     apart = np.median(top[y > 0]) - np.median(top[y < 0])
     return Model(spread, middle, 6.0 / max(float(apart), 1e-6))
 
 
+def _disturbed(found: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Copies of stretches with a separator or a letter put in at some place inside."""
+    out = found.copy()
+    at = rng.integers(2, STRETCH, len(found))
+    sign = np.where(rng.random(len(found)) < 0.5, 0, rng.integers(1, 27, len(found)))
+    for row, k, s in zip(out, at, sign):
+        row[k + 1 :] = row[k:-1].copy()
+        row[k] = s
+    return out
+
+
 def _telling(marks: np.ndarray, docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Which landmarks are at least five times as frequent in documents labelled 1."""
     numbers = sum(marks[:, i] << BITS * (PIECE - 1 - i) for i in range(PIECE))
@@ -291,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True), la
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with a score between 0 and 1."""
-    prepare(docs.sparkSession)
+    prepare_texts(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
