@@ -14,8 +14,6 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 NO_RESULTS = "no results"
 # Words of all queries together that may be broadcast (about 100 bytes each).
 MAX_BROADCAST_WORDS = 1_000_000
-# Pairs of query and posting up to which all are scored.
-DIRECT_PAIRS = 1_000_000_000
 SEED_WORDS = 3
 SLACK = 1e-4
 QUERY = ["entity_id", "channel"]
@@ -72,26 +70,20 @@ def postings(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFram
     return asked, hand_over(found)
 
 
-def search(queries: DataFrame, corpus: DataFrame, n_docs: int, k: int, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, n_docs: int, k: int) -> DataFrame:
     """The ``k`` best documents of each channel for every query.
 
-    The score is the sum of tf·idf over the query's distinct words.  How many
-    pairs of query and posting there are is known from the document frequencies
-    before any pair is made: up to ``direct_pairs`` all are scored, beyond it
-    only those that can still reach the first ``k``.  Both give the same rows.
+    The score is the sum of tf·idf over the query's distinct words.  Only pairs of
+    query and document that can still reach the first ``k`` are scored.
     """
     asked, found = postings(queries, corpus)
     idf = F.log((F.lit(n_docs) + 1) / (F.col("df") + 1))
     weights = found.groupBy("channel", "word").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"))
     terms = hand_over(asked.join(weights.withColumn("idf", idf), "word"))
-    n_terms, n_pairs = terms.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    n_terms = terms.count()
     # one partitioning by document serves every join and sum below
     found = found.repartition("doc_id")
-    if n_pairs <= direct_pairs:
-        pairs = found.join(_broadcast_if_small(terms, n_terms), ["channel", "word"])
-        scores = pairs.groupBy(*PAIR).agg(_score())
-    else:
-        scores = _scores_of(_candidates(found, terms, n_terms, k), found, terms)
+    scores = _scores_of(_candidates(found, terms, n_terms, k), found, terms)
     return hits.top_k(scores, QUERY, [F.desc("score"), "doc_id"], k, "channel_rank")
 
 

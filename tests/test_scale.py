@@ -154,8 +154,7 @@ def texts():
     return docs, queries
 
 
-@pytest.mark.parametrize("direct", [0, 10**9])
-def test_search_equals_brute_force(spark, texts, direct):
+def test_search_equals_brute_force(spark, texts):
     docs, queries = texts
     tf = {d: Counter(w) for d, w in docs.items()}
     df = Counter(w for c in tf.values() for w in c)
@@ -170,7 +169,7 @@ def test_search_equals_brute_force(spark, texts, direct):
         want.update({(q, r + 1): d for r, (d, _) in enumerate(best)})
     corpus = spark.createDataFrame([("body", d, " ".join(w).upper()) for d, w in docs.items()], "channel string, doc_id long, text string")
     asked = spark.createDataFrame([(q, ", ".join(w)) for q, w in queries.items()], "entity_id long, name string")
-    found = search.search(asked, corpus, len(docs), 7, direct_pairs=direct)
+    found = search.search(asked, corpus, len(docs), 7)
     assert {(r.entity_id, r.channel_rank): r.doc_id for r in found.collect()} == want
 
 
