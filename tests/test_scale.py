@@ -217,3 +217,13 @@ def test_scans_read_only_what_is_used(spark, folder):
     assert "html" not in plan
     plan = plan_of(QUERIES["a8_stage_counters"](spark, folder))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
+
+
+def test_strategies_are_scored_in_the_row_of_the_page(spark, folder):
+    plan = plan_of(QUERIES["a20_strategy_scores"](spark, folder))
+    assert plan.count("FileScan parquet") == 1 and "hashpartitioning" not in plan and "Join" not in plan
+
+
+def test_links_need_no_titles(spark, folder):
+    plan = plan_of(QUERIES["r3_search_links"](spark, folder))
+    assert "html:string" not in plan and "<title>" not in plan
