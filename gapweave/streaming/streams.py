@@ -121,16 +121,52 @@ def windowed_metrics(events: DataFrame, width: str = "1 hour", slide: str | None
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_events", "cost", "success_rate")
 
 
-def first_requests(requests: DataFrame, unique: str, lifetime: str = "1 hour", salts: int = 32) -> DataFrame:
-    """Requests not already made within the lifetime of a cached answer.
+REQUEST_STATE = "last long, times array<long>, ids array<long>"
+REQUEST = "query string, top_k long, ts timestamp, id long"
+REQUEST_COLUMNS = ["query", "top_k", "ts", "id"]
 
-    A first pass per salt, made from the ``unique`` column, leaves at most
-    ``salts`` rows of a popular query for the pass that decides.
+
+def first_requests(requests: DataFrame, unique: str, lifetime_ms: int = 3600 * 1000, late: str = "1 hour") -> DataFrame:
+    """Requests with no request of the same key let through in the lifetime before them.
+
+    In the order of event time, ties by ``unique``: a request waits until the
+    watermark has passed it, so the answer does not depend on how the stream is cut
+    into batches.  What the watermark has not reached yet is still to come.
     """
-    timed = with_event_time(requests).withWatermark("ts", lifetime)
-    salted = timed.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(salts)))
-    few = salted.dropDuplicatesWithinWatermark(["query", "top_k", "_salt"])
-    return few.dropDuplicatesWithinWatermark(["query", "top_k"]).drop("_salt")
+
+    def step(key, chunks, state):
+        last, times, ids = state.get if state.exists else (-1, [], [])
+        waiting = list(zip(times, ids))
+        if not state.hasTimedOut:
+            for chunk in chunks:
+                waiting += zip(chunk["micros"].tolist(), chunk["id"].tolist())
+        waiting.sort()
+        mark = state.getCurrentWatermarkMs()
+        out, n = [], 0
+        for micros, unique_id in waiting:
+            if micros > mark * 1000:
+                break
+            n += 1
+            if last < 0 or micros - last > lifetime_ms * 1000:
+                out.append((key[0], key[1], pd.Timestamp(micros, unit="us", tz="UTC"), unique_id))
+                last = micros
+        waiting = waiting[n:]
+        # wake up when the next one is due, or when the last one is forgotten
+        due = waiting[0][0] // 1000 if waiting else last // 1000 + lifetime_ms
+        if waiting or due > mark:
+            state.update((last, [w[0] for w in waiting], [w[1] for w in waiting]))
+            state.setTimeoutTimestamp(max(due, mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=REQUEST_COLUMNS)
+
+    timed = with_event_time(requests).withWatermark("ts", late)
+    rows = timed.select(
+        "query", F.col("top_k").cast("long").alias("top_k"), F.col(unique).alias("id"), "ts", F.unix_micros("ts").alias("micros")
+    )
+    return rows.groupBy("query", "top_k").applyInPandasWithState(
+        step, REQUEST, REQUEST_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 # --- run lifecycle ------------------------------------------------------------------------
