@@ -55,7 +55,8 @@ def x1(spark, folder):
 )
 def x2(spark, folder):
     path = scratch_dir(spark)
-    streams.each_batch(streams.live_counters(stream_shape(spark, folder, "run_events")), streams.batch_writer(path))
+    counters = streams.live_counters(stream_shape(spark, folder, "run_events"))
+    streams.each_batch(counters, streams.state_writer(path, ["run_id"]))
     return streams.latest(spark, path, ["run_id"])
 
 

@@ -67,10 +67,27 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def state_writer(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """The state of all keys after each batch, in two folders in turn.
+
+    A batch is merged with what the one before it has left, so reading the state
+    takes two copies at most, however long the stream runs; a batch that is run
+    again overwrites itself.
+    """
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        if batch_id:
+            before = rows.sparkSession.read.parquet(f"{path}/slot={(batch_id - 1) % 2}").drop("batch")
+            rows = fetch.update_rows(before, rows, keys)
+        rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
+
+    return write
+
+
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The last state written for each key by an update stream."""
     rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    rest = [c for c in rows.columns if c not in (*keys, "batch", "slot")]
     last = F.max_by(F.struct(*rest), F.col("batch"))
     return rows.groupBy(*keys).agg(last.alias("s")).select(*keys, "s.*")
 

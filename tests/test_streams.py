@@ -126,6 +126,16 @@ def test_a_repeated_batch_replaces_itself(spark):
     assert spark.read.parquet(out).count() == 5
 
 
+def test_state_is_merged_batch_by_batch(spark):
+    out = scratch_dir(spark)
+    write = streams.state_writer(out, ["k"])
+    for batch, rows in enumerate([[(1, "a"), (2, "a")], [(2, "b")], [(3, "c"), (1, "c")], []]):
+        for _ in range(2):  # each batch is run twice
+            write(spark.createDataFrame(rows, "k long, v string"), batch)
+    assert {r.k: r.v for r in streams.latest(spark, out, ["k"]).collect()} == {1: "c", 2: "b", 3: "c"}
+    assert spark.read.parquet(out).count() == 6  # two copies
+
+
 def test_a_failing_stream_raises(spark, folder):
     events = shape(spark, folder, "run_events")
     stream = streams.read_stream(spark, f"{folder}/events.parquet", spark.read.parquet(f"{folder}/events.parquet").schema)
