@@ -43,6 +43,8 @@ PART = 2048
 LONG = 1 << 16
 # Remembered words, and as many stretches: two generations of at most so many.
 REMEMBERED = 150_000
+# In digests, where a worker also does other work before and after: memory before speed.
+REMEMBERED_BRIEFLY = 30_000
 WORD_END = "</w>"
 
 # Fixed by the vocabulary file: its special tokens and its splitting rule, for lower-case Latin.
@@ -60,14 +62,14 @@ def byte_signs() -> dict[int, str]:
 
 
 class Memory(dict):
-    """Answers by key, of two generations of at most ``REMEMBERED``; a missing one is made."""
+    """Answers by key, of two generations of at most ``limit``; a missing one is made."""
 
-    def __init__(self, make: Callable[[bytes], bytes]):
+    def __init__(self, make: Callable[[bytes], bytes], limit: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         found = self.old.get(key)
@@ -81,7 +83,7 @@ def as_ids(numbers: Iterable[int]) -> bytes:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -93,7 +95,8 @@ class Encoder:
         self.lengths = [len(t.removesuffix(WORD_END)) for t in self.tokens]
         self.signs = byte_signs()
         self.model = self.library.model
-        self.words, self.stretches = Memory(self.word), Memory(self._stretch_bytes)
+        limit = remembered or REMEMBERED
+        self.words, self.stretches = Memory(self.word, limit), Memory(self._stretch_bytes, limit)
 
     # -- stretches: what the pre-tokenizer does not split, in the signs of the vocabulary
 
@@ -167,9 +170,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int | None = None) -> Encoder:
     """One encoder for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
 def default_path() -> str:
@@ -228,7 +231,7 @@ def tree(parts: list[tuple[bytes, bool]], enc: Encoder) -> bytes:
 
 def _pieces(path: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, REMEMBERED_BRIEFLY)
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), as_bytes(batch.column("text"))):
                 found = list(cut(text or b"", enc))
@@ -248,7 +251,7 @@ def _pieces(path: str):
 
 def _encode_pieces(path: str):
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = encoder(path, REMEMBERED_BRIEFLY)
         for f in frames:
             ids = [
                 as_ids(enc.stretch(s)) if p is None else enc.text(bytes(p))
@@ -261,7 +264,7 @@ def _encode_pieces(path: str):
 
 def _join_pieces(path: str):
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = encoder(path, REMEMBERED_BRIEFLY)
         for f, starts in whole_groups(frames, ["row"]):
             rows = []
             for lo, hi in zip(starts[:-1], starts[1:]):
@@ -351,12 +354,12 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     @F.arrow_udf(DIGEST)
     def of_texts(texts: pa.Array) -> pa.Array:
-        enc = encoder(path)
+        enc = encoder(path, REMEMBERED_BRIEFLY)
         return pa.array([_digest(enc.text(t), enc) for t in as_bytes(texts)], kind)
 
     @F.arrow_udf(DIGEST)
     def of_ids(ids: pa.Array) -> pa.Array:
-        enc = encoder(path)
+        enc = encoder(path, REMEMBERED_BRIEFLY)
         return pa.array([_digest(i, enc) for i in ids.to_pylist()], kind)
 
     rows = docs.select("doc_id", "text")
