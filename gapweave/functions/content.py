@@ -79,20 +79,24 @@ def _object_map(v: Column) -> Column:
     )
 
 
-def _merge_last_wins(maps: Column) -> Column:
-    empty = F.expr("cast(map() as map<string,string>)")
-    return F.aggregate(
-        maps,
-        empty,
-        lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(m, k)), m),
-    )
-
-
 def _let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _merge_last_wins(maps: Column) -> Column:
+    """All entries sorted by key, later objects first; the first of each key stays."""
+
+    def entries(m: Column, i: Column) -> Column:
+        return F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), (-i).alias("nr"), e["value"].alias("value")))
+
+    def first_of_each(found: Column) -> Column:
+        kept = F.filter(found, lambda e, k: (k == 0) | (F.get(found, k - 1)["key"] != e["key"]))
+        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
+    return _let(F.array_sort(F.flatten(F.transform(maps, entries))), first_of_each)
+
+
 def _normalise_list(items: Column) -> Column:
     shapes = F.transform(items, lambda x: F.schema_of_variant(x))
     all_objects = F.forall(shapes, lambda s: F.coalesce(s.startswith("OBJECT"), F.lit(False)))
