@@ -52,8 +52,8 @@ def test_tree_concatenation(library, encoder, monkeypatch):
         assert ids(bpe.tree(parts, encoder)) == expected
 
 
-def test_forgetting_words_changes_nothing(library, encoder, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 7)
+def test_forgetting_words_changes_nothing(library):
+    encoder = bpe.Encoder(PATH, remembered=7)
     text = " ".join(f"word{i % 23} and, so on" for i in range(200))
     assert ids(encoder.text(text.encode())) == library.encode(text, add_special_tokens=False).ids
 
