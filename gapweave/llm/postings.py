@@ -164,21 +164,17 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
 def proximity_matches(index: DataFrame, windows: DataFrame, slop: int = 5) -> DataFrame:
     """Places where the rare terms of a window stand, but shifted by up to ``slop`` words.
 
-    ``doc_id, text_hash, window, start, spread``: the earliest start that a rare
-    term speaks for, and how far apart the starts are (0 where the rare terms
-    stand exactly as in the window).
+    ``doc_id, text_hash, window, start, spread``: a start that a rare term speaks
+    for, and how far behind it the others have theirs (0 where the rare terms stand
+    exactly as in the window).
     """
     starts = _rare_starts(index, _rank_terms(index, windows), beside=False)
-    # any two starts within the slop share one of two overlapping bins
-    binned = starts.withColumn("bin", F.explode(F.array(*[F.floor(F.col("start") / (slop + 1)) + i for i in (0, 1)])))
+    # each start against those of the ``slop`` words behind it
+    near = Window.partitionBy("doc_id", "text_hash", "window").orderBy("start").rangeBetween(0, slop)
+    nearest = [F.min(F.when(F.col("rank") == r, F.col("start"))).over(near) for r in range(1, RARE + 1)]
     return (
-        binned.groupBy("doc_id", "text_hash", "window", "n", "bin")
-        .agg(
-            F.bit_or(bit(F.col("rank"))).alias("mask"),
-            F.min("start").alias("start"),
-            (F.max("start") - F.min("start")).alias("spread"),
-        )
-        .filter((F.col("mask") == all_bits(F.least("n", F.lit(RARE)))) & (F.col("spread") <= slop))
+        starts.withColumns({"mask": F.bit_or(bit(F.col("rank"))).over(near), "spread": F.greatest(*nearest) - F.col("start")})
+        .filter(F.col("mask") == all_bits(F.least("n", F.lit(RARE))))
         .select("doc_id", "text_hash", "window", "start", "spread")
         .distinct()
     )

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -102,3 +103,21 @@ def test_proximity(spark, make_docs):
 def test_no_python_in_the_plan(spark, folder):
     plan = postings.op10(spark, folder)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_proximity_of_repeated_terms(spark, make_docs):
+    rng = random.Random(9)
+    own = ["red", "orange", "yellow"]
+    rows = [(i, " ".join(rng.choice([*own, "x", "x"]) for _ in range(rng.randrange(3, 30)))) for i in range(200)]
+    # starts 0 and 4 of one term, 5 and 6 of the others
+    rows.append((500, "red x x x red x orange x yellow"))
+    items = postings.item_windows(spark.createDataFrame([(1, " ".join(own))], ITEMS))
+    got = postings.proximity_matches(postings.build_index(make_docs(rows), items), items, slop=5)
+    expected = set()
+    for i, t in rows:
+        starts = [(k - own.index(w), w) for k, w in enumerate(t.split()) if w in own]
+        for s, _ in starts:
+            first = [min((b for b, w in starts if w == o and s <= b <= s + 5), default=None) for o in own]
+            if None not in first:
+                expected.add((i, s, max(first) - s))
+    assert {(r.doc_id, r.start, r.spread) for r in got.collect()} == expected
