@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, passages, postings, quality, quotes, sequences, shards, simhash, topk, toxicity
+from . import bpe, byte_bpe, interaction, merkle, passages, postings, quality, quotes, sequences, shards, simhash, topk, toxicity
 
 QUERIES = {
     "op1_neighbour_quality": quality.op1,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_bpe_round_trip": bpe.op8,
     "op9_repeated_passages": passages.op9,
     "op10_benchmark_leaks": postings.op10,
+    "op11_merkle_manifest": merkle.op11,
+    "op12_filter_interactions": interaction.op12,
+    "op13_byte_bpe_round_trip": byte_bpe.op13,
 }
 ORACLES = {
     "op3_threshold_topk": topk.OP3_SQL,
     "op10_benchmark_leaks": postings.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_filter_interactions": interaction.OP12_SQL,
 }
 
 
