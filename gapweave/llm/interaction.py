@@ -32,6 +32,7 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import permutations
 from math import factorial
 
@@ -56,6 +57,13 @@ SIGNS = b"#$%&*|"
 BATCHES = 4
 # Texts of the whole table that share a key of the state store.
 BUCKET = 500
+# Rows of a table up to which the session's own state store holds all texts (about 100 bytes each).
+# One on disk sets aside some MB for each of its partitions, which is more than a small state takes.
+IN_MEMORY = 20_000_000
+ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 # Rows that a task puts together before it hands them on.
 TOGETHER = 200_000
 LARGEST = 2**63 - 1
@@ -209,8 +217,24 @@ def changes(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     return gathered.groupBy("bucket").applyInPandasWithState(_update, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """``part, mask, good, toxic, n`` of all files of a table, read as a stream of ``batches`` micro-batches."""
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings that hold while a stream runs."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES, in_memory: int = IN_MEMORY) -> DataFrame:
+    """``part, mask, good, toxic, n`` of all files of a table, read as a stream of ``batches`` micro-batches.
+
+    Beyond ``in_memory`` rows the state is kept on the executors' disks, whatever store the session names.
+    """
     prepare_texts(spark)
     table = spark.read.parquet(path).select("doc_id", "text", "source")
     files = -(-len(table.inputFiles()) // batches)
@@ -224,14 +248,8 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     def add(rows: DataFrame, batch_id: int) -> None:
         write(rows.groupBy(*kinds).agg(F.sum("n").alias("n")), batch_id)
 
-    # the state of all texts lies on the executors' disks and not in their memory
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _settings(spark, ON_DISK if table.count() > in_memory else {}):
         each_batch(found, add)
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     return spark.read.schema(CHANGES).parquet(folder).groupBy(*kinds).agg(F.sum("n").alias("n")).filter("n != 0")
 
 

@@ -52,15 +52,15 @@ def brute(rows, labels):
             yield (part, order, step, *counts, shapley[order[step - 1]])
 
 
-def run(spark, path, rows, labels, files, batches):
+def run(spark, path, rows, labels, files, batches, in_memory=interaction.IN_MEMORY):
     for n in range(files):
         spark.createDataFrame([(*r, "x", "y", "z") for r in rows[n::files]], DOCS).coalesce(1).write.mode("append").parquet(f"{path}/documents.parquet")
     marks = spark.createDataFrame([(*r, "w") for r in labels], LABELS)
-    return interaction.counters(spark, f"{path}/documents.parquet", marks, batches)
+    return interaction.counters(spark, f"{path}/documents.parquet", marks, batches, in_memory)
 
 
-@pytest.mark.parametrize("batches", [1, 6])
-def test_against_brute_force(spark, tmp_path, batches):
+@pytest.mark.parametrize(("batches", "in_memory"), [(1, interaction.IN_MEMORY), (6, interaction.IN_MEMORY), (6, 0)])
+def test_against_brute_force(spark, tmp_path, batches, in_memory):
     rng = random.Random(batches)
     words = ["a", "B", "#x", "word", "CAPS", "é", "\x85", "two\tthree"]
     texts = [None, ""] + [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 120))) for _ in range(30)]
@@ -68,7 +68,7 @@ def test_against_brute_force(spark, tmp_path, batches):
     rows = [(rng.choice([None, 2**60, *range(200)]), rng.choice(texts), rng.choice([None, "", "s1", "s2"])) for _ in range(500)]
     rows.append((1000, "Z %" * 2_000_000, "long"))
     labels = [(i // 2 if i % 9 else None, i % 3 % 2, 1 if i % 5 == 0 else None) for i in range(400)]
-    got = interaction.interactions(run(spark, tmp_path, rows, labels, 6, batches))
+    got = interaction.interactions(run(spark, tmp_path, rows, labels, 6, batches, in_memory))
     assert sorted(tuple(r) for r in got.collect()) == sorted(brute(rows, labels))
 
 
