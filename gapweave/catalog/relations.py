@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import fetch, gather, hits, metrics, running, timing
-from ..sources import tables
+from ..operators import fetch, gather, hits, link_filter, metrics, running, timing
+from ..session import scratch_dir
+from ..sources import store, tables
 from .base import STAGE_TIMES_SQL, Catalog, shape, stage_times
 
 catalog = Catalog()
@@ -31,6 +34,25 @@ def j1(spark, folder):
     )
 
 
+@add(
+    "j1_bucketed_fetch",
+    """SELECT h.entity_id, h.channel, h.link AS url, CASE WHEN p.url IS NULL THEN 'failed' ELSE 'ready' END AS status, length(p.html) AS n_chars
+       FROM hits h LEFT JOIN pages p ON h.link = p.url""",
+    "hits",
+)
+def j1_bucketed(spark, folder):
+    requests = shape(spark, folder, "hits").select("entity_id", "channel", F.col("link").alias("url"))
+    name = f"pages_{uuid.uuid4().hex}"
+    kept = store.save_store(tables.table(spark, folder, "pages").select("url", "html"), name, scratch_dir(spark))
+    return fetch.fetch(requests, kept).select("entity_id", "channel", "url", "status", F.length("data").alias("n_chars"))
+
+
+@add("j1_asked_pages", "SELECT url, length(html) AS n_chars FROM pages WHERE url IN (SELECT link FROM hits)", "hits")
+def j1_asked(spark, folder):
+    links = shape(spark, folder, "hits").select(F.col("link").alias("url"))
+    return link_filter.asked_pages(tables.table(spark, folder, "pages"), links).select("url", F.length("html").alias("n_chars"))
+
+
 def _sides(spark, folder):
     t = stage_times(spark, folder)
     scrapes = t.select("run_id", "url", F.col("request_sent").alias("scrape_start"), F.col("data_received").alias("scrape_end"))

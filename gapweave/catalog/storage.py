@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import content
@@ -286,3 +288,21 @@ def s9(spark, folder):
         runs = log.read_log(spark, path)[log.RUNS]
         parts.append(runs.agg(F.count("*").alias("n_runs")).withColumn("log_schema", F.lit(path.split("/")[-2])))
     return parts[0].unionByName(parts[1])
+
+
+@add(
+    "s9_log_tables",
+    """SELECT 'production' AS log_schema, run_id, count(*) AS n FROM run_events WHERE stage IN ('scraped', 'failed') GROUP BY run_id
+       UNION ALL SELECT 'test', run_id, count(*) FROM run_events WHERE stage IN ('scraped', 'failed') AND run_id % 2 = 0 GROUP BY run_id""",
+    "run_events",
+)
+def s9_tables(spark, folder):
+    root, prefix = scratch_dir(spark), f"log_{uuid.uuid4().hex}_"
+    scrapes = {log.SCRAPES: run_tables(spark, folder)[log.SCRAPES]}
+    even = {name: rows.filter("run_id % 2 = 0") for name, rows in scrapes.items()}
+    log.write_log_tables(scrapes, root, "prod", prefix)
+    log.write_log_tables(even, root, "test", prefix)
+    return spark.sql(
+        f"""SELECT 'production' AS log_schema, run_id, count(*) AS n FROM production.{prefix}{log.SCRAPES} GROUP BY run_id
+            UNION ALL SELECT 'test', run_id, count(*) FROM test.{prefix}{log.SCRAPES} GROUP BY run_id"""
+    )

@@ -6,14 +6,17 @@ run may have any number of them.  Page bodies are not logged, only sizes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store
 from . import fetch
 
 RUNS, HITS, SCRAPES, EXTRACTS, VALUES, ERRORS = TABLES = ("runs", "hits", "scrapes", "extracts", "values", "errors")
 COSTS = ("serp_cost", "scrape_cost", "extraction_cost", "cost_per_successful_extraction", "total_cost")
-SCHEMAS = {"prod": "production", "test": "test"}
+BATCH, COMMITS = "log_batch", "commits"
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -25,7 +28,7 @@ def save_pages(scrapes: DataFrame, path: str, overwrite: bool = False) -> None:
 
 def log_path(root: str, mode: str = "test", table: str = "run_log") -> str:
     """Production and test logs live apart; anything but ``prod`` is a test."""
-    return f"{root.rstrip('/')}/{SCHEMAS.get(mode, SCHEMAS['test'])}/{table}"
+    return f"{root.rstrip('/')}/{store.schema_name(mode)}/{table}"
 
 
 def run_records(runs: DataFrame, fields) -> DataFrame:
@@ -53,27 +56,48 @@ def run_records(runs: DataFrame, fields) -> DataFrame:
     )
 
 
-def write_log(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
-    """Append the tables of some runs; each has ``run_id`` and ``run_date``.
+def write_log(tables: dict[str, DataFrame], path: str, batch: str | None = None) -> str:
+    """Add the tables of some runs; each has ``run_id`` and ``run_date``.  Returns the batch.
 
-    The rebalance before each write merges small days and splits large ones,
-    so neither tiny files nor one oversized task come out of a skewed day.
+    A batch has a folder in every table and is committed by a last small file, so a
+    write that broke off shows nothing, and one that is tried again under the same
+    ``batch`` replaces what it had written.  The rebalance before each write merges
+    small days and splits large ones, so neither tiny files nor one oversized task
+    come out of a skewed day.
     """
     unknown = set(tables) - set(TABLES)
     if unknown:
         raise ValueError(f"unknown log tables {sorted(unknown)}")
+    batch = batch or uuid.uuid4().hex
     for name, rows in tables.items():
-        rows.hint("rebalance", F.col("run_date")).write.mode(mode).partitionBy("run_date").parquet(f"{path}/{name}")
+        folder = f"{path}/{name}/{BATCH}=b-{batch}"
+        rows.hint("rebalance", F.col("run_date")).write.mode("overwrite").partitionBy("run_date").parquet(folder)
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        spark.range(1).select(F.current_timestamp().alias("committed_at")).write.mode("overwrite").parquet(
+            f"{path}/{COMMITS}/{BATCH}=b-{batch}"
+        )
+    return batch
 
 
 def read_log(
     spark: SparkSession, path: str, run_id: int | None = None, names: tuple[str, ...] = (RUNS, SCRAPES, EXTRACTS)
 ) -> dict[str, DataFrame]:
-    """The named tables for one run, or for all; a missing id gives no rows."""
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in names}
-    if run_id is None:
-        return tables
-    return {name: t.filter(F.col("run_id") == run_id) for name, t in tables.items()}
+    """The named tables of committed batches, for one run or for all; a missing id gives no rows."""
+    done = spark.read.parquet(f"{path}/{COMMITS}").select(BATCH)
+    tables = {}
+    for name in names:
+        rows = spark.read.parquet(f"{path}/{name}")
+        rows = rows if run_id is None else rows.filter(F.col("run_id") == run_id)
+        tables[name] = rows.join(done, BATCH, "left_semi").drop(BATCH)
+    return tables
+
+
+def write_log_tables(tables: dict[str, DataFrame], root: str, mode: str = "test", prefix: str = "") -> dict[str, str]:
+    """The log as tables of the production or test schema, made below ``root``; the full name of each."""
+    for rows in tables.values():
+        store.use_schema(rows.sparkSession, root, mode)
+    return {name: store.catalog_table(rows, mode, prefix + name, ("run_date",)) for name, rows in tables.items()}
 
 
 def export_runs(runs: DataFrame) -> DataFrame:

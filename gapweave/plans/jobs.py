@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import FAILED, FINISHED, MODE_DISABLED, MODE_ONLY, RUNNING, Field, RunConfig
 from ..functions import content, urls
 from ..functions.usage import cost_per, exact_sum, extract_cost, rate
-from ..operators import extract, fetch, gather, log, metrics, search, timing
+from ..operators import extract, fetch, gather, link_filter, log, metrics, search, timing
 from ..session import hand_over, scratch_dir
 from ..sources import tables
 from ..streaming import streams
@@ -203,7 +203,7 @@ def impute_batch(
     else:
         found = search.search_links(queries_of(rest), pages, config.top_k, config.interleave, config.deduplicate)
         links = hand_over(found.select("entity_id", F.col("link").alias("url"), "channel", "pos"))
-        asked = pages.join(links.select("url").distinct(), "url", "left_semi")
+        asked = link_filter.asked_pages(pages, links)
         results = link_results(links, hand_over(page_results(asked, fields, config, costs)))
         if fast is not None:
             results, links = with_fast_path(results, fast), links.unionByName(fast.select("entity_id", "url", "channel", "pos"))
