@@ -45,15 +45,16 @@ FUSED = """votes AS (SELECT entity_id, field, value, count(*) AS votes, max(conf
 
 @add(
     "job0_host_profile",
-    f"""WITH p AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS entity_id, url, html FROM pages WHERE {VALID} AND length(html) >= 3000),
+    f"""WITH p AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS entity_id, url, html, coalesce(length(html) >= 3000, false) AS passed FROM pages WHERE {VALID}),
         m AS (SELECT * FROM ("""
     + " UNION ALL ".join(
-        f"SELECT entity_id, url, '{f.name}' AS field, unnest(regexp_extract_all(html, '{f.pattern}', 1)) AS value FROM p" for f in PROFILE_FIELDS
+        f"SELECT entity_id, url, '{f.name}' AS field, unnest(regexp_extract_all(html, '{f.pattern}', 1)) AS value FROM p WHERE passed" for f in PROFILE_FIELDS
     )
     + f""")), c AS (SELECT entity_id, url, field, value, count(*) AS n FROM m GROUP BY ALL),
         good AS (SELECT *, n / (sum(n) OVER (PARTITION BY url, field))::DOUBLE AS confidence FROM c), {FUSED.format(good='good')}
-        SELECT entity_id AS host, field, value, confidence, votes, source_url, n_pages, n_chars FROM fused
-        JOIN (SELECT entity_id, count(*) AS n_pages, sum(length(html))::BIGINT AS n_chars FROM p GROUP BY 1) USING (entity_id)""",
+        SELECT entity_id AS host, field, value, confidence, votes, source_url, n_pages, n_chars, n_gated FROM fused
+        RIGHT JOIN (SELECT entity_id, count(*) FILTER (passed) AS n_pages, coalesce(sum(length(html)) FILTER (passed), 0)::BIGINT AS n_chars,
+          count(*) FILTER (NOT passed) AS n_gated FROM p GROUP BY 1) USING (entity_id)""",
 )
 def job0(spark, folder):
     return jobs.host_profile(tables.table(spark, folder, "pages"), PROFILE_FIELDS, 3000)

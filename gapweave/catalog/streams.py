@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..operators import log
+from ..operators import lifetime, log
 from ..session import scratch_dir
 from ..sources import tables
 from ..streaming import streams
@@ -86,21 +86,30 @@ def x3_sliding(spark, folder):
     return _windows(spark, folder, "1 hour", "30 minutes")
 
 
-@add(
-    "x4_first_requests",
-    """WITH RECURSIVE e AS (SELECT event_id AS id, ts, event_type AS query, user_id % 3 AS top_k FROM events
-          WHERE epoch_us(ts) <= ((SELECT epoch_ms(max(ts)) FROM events) - 3600000) * 1000),
+REQUESTS = """WITH RECURSIVE e AS (SELECT event_id AS id, ts, event_type AS query, user_id % 3 AS top_k FROM events {0}),
        p AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY query, top_k ORDER BY ts, id) = 1
          UNION ALL
          SELECT e.id, e.ts, e.query, e.top_k FROM p JOIN e ON e.query = p.query AND e.top_k = p.top_k AND e.ts > p.ts + INTERVAL 1 HOUR
          QUALIFY row_number() OVER (PARTITION BY e.query, e.top_k ORDER BY e.ts, e.id) = 1)
-       SELECT id, query, top_k, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts FROM p""",
-)
+       SELECT id, query, top_k, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts FROM p"""
+
+
+def _requests(events):
+    return events.select("event_id", "ts", F.col("event_type").alias("query"), (F.col("user_id") % 3).alias("top_k"))
+
+
+@add("x4_first_requests", REQUESTS.format(""))
 def x4(spark, folder):
+    asked = _requests(tables.table(spark, folder, "events"))
+    done = lifetime.first_requests(asked, ["query", "top_k"], "ts", "event_id")
+    return done.select(F.col("event_id").alias("id"), "query", "top_k", F.date_format("ts", log.ISO).alias("ts"))
+
+
+# the stream lets a request out when the watermark has passed it
+@add("x4_stream_requests", REQUESTS.format("WHERE epoch_us(ts) <= ((SELECT epoch_ms(max(ts)) FROM events) - 3600000) * 1000"))
+def x4_stream(spark, folder):
     path = scratch_dir(spark)
-    events = streams.read_stream(
-        spark, f"{folder}/events.parquet", tables.table(spark, folder, "events").schema
-    ).select("event_id", "ts", F.col("event_type").alias("query"), (F.col("user_id") % 3).alias("top_k"))
+    events = _requests(streams.read_stream(spark, f"{folder}/events.parquet", tables.table(spark, folder, "events").schema))
     streams.append_files(streams.first_requests(events, "event_id"), path)
     return spark.read.parquet(path).withColumn("ts", F.date_format("ts", log.ISO))
 

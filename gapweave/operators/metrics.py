@@ -34,15 +34,18 @@ def channel_statistics(hits: DataFrame, channel_usage: DataFrame) -> DataFrame:
     per_hit = hits.groupBy("channel").agg(F.count("*").alias("results"), best.alias("top_result"))
     per_use = channel_usage.groupBy("channel").agg(exact_sum(F.col("cost")).alias("cost"), F.sum("elapsed").alias("elapsed"))
     # a channel without a usage row still counts with its hits, one without hits with its cost
-    merged = per_use.join(per_hit, "channel", "full_outer")
+    hit = per_hit.withColumnRenamed("channel", "_channel")
+    merged = per_use.join(hit, F.col("channel").eqNullSafe(F.col("_channel")), "full_outer").withColumn("channel", F.coalesce("channel", "_channel"))
     by_channel = merged.rollup("channel").agg(
         F.coalesce(F.sum("results"), F.lit(0)).alias("results"),
         F.round(F.sum("cost"), PLACES).alias("cost"),
         F.round(F.sum("elapsed"), PLACES).alias("elapsed"),
         F.count("*").alias("channels"),
         F.when(F.grouping("channel") == 0, F.max("top_result")).alias("top_result"),
+        F.grouping("channel").alias("_total"),
     )
-    return by_channel.withColumn("channel", F.coalesce("channel", F.lit("(all)")))
+    # hits and usage without a channel keep a row of their own
+    return by_channel.withColumn("channel", F.when(F.col("_total") == 1, F.lit("(all)")).otherwise(F.col("channel"))).drop("_total")
 
 
 def scrape_costs(scrapes: DataFrame) -> DataFrame:

@@ -335,17 +335,25 @@ def compare_strategies(pages: DataFrame, label_words: list[str], fields: list[Fi
 
 
 def host_profile(pages: DataFrame, fields: list[Field], min_chars: int) -> DataFrame:
-    """The most trusted value of each field per host, with what the host offers."""
-    usable = pages.filter(urls.is_valid_url(F.col("url")) & (F.length("html") >= min_chars))
-    rows = usable.select(
+    """The most trusted value of each field per host, with what the host offers.
+
+    Pages below ``min_chars`` are not read but counted in ``n_gated``; a host where
+    nothing is found has one row without a field.
+    """
+    valid = pages.filter(urls.is_valid_url(F.col("url"))).withColumn("n_chars", F.length("html"))
+    passed = F.coalesce(F.col("n_chars") >= min_chars, F.lit(False))
+    rows = valid.select(
         urls.host(F.col("url")).alias("entity_id"),
         "url",
-        F.length("html").alias("n_chars"),
-        extract.parsed(fields, F.col("html"), F.col("html")).alias("content"),
+        F.when(passed, F.col("n_chars")).alias("n_chars"),
+        passed.alias("passed"),
+        F.when(passed, extract.parsed(fields, F.col("html"), F.col("html"))).alias("content"),
+    )
+    sizes = rows.groupBy("entity_id").agg(
+        F.count_if("passed").alias("n_pages"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n_chars"), F.count_if(~F.col("passed")).alias("n_gated")
     )
-    sizes = rows.groupBy("entity_id").agg(F.count("*").alias("n_pages"), F.sum("n_chars").alias("n_chars"))
     fused = gather.fuse(extract.value_rows(rows))
-    return fused.join(sizes, "entity_id").withColumnRenamed("entity_id", "host")
+    return sizes.join(fused, "entity_id", "left").withColumnRenamed("entity_id", "host").select(*fused.drop("entity_id").columns, "host", *sizes.columns[1:])
 
 
 # --- run log -------------------------------------------------------------------------------
