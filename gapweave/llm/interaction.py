@@ -46,12 +46,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import hand_over, scratch_dir
 from ..streaming.streams import batch_writer, each_batch, read_stream
 from .batches import prepare_texts
-from .text import as_bytes
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
-UPPER = bytes(range(ord("A"), ord("Z") + 1))
-SIGNS = b"#$%&*|"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SIGNS = "[#$%&*|]"
 
 # Micro-batches that a table is read in, if it has as many files.
 BATCHES = 4
@@ -69,38 +68,24 @@ TOGETHER = 200_000
 LARGEST = 2**63 - 1
 
 
-def mask(text: bytes) -> int:
-    """Which of A to D a text fails."""
-    words = text.split()
-    letters = len(text) - len(text.translate(None, UPPER))
-    points = len(text) if text.isascii() else len(text.decode())
-    return (
-        (len(words) < 50)
-        | (100 * len(set(words)) < 65 * len(words)) << 1
-        | (100 * letters > 5 * points) << 2
-        | (len(text) != len(text.translate(None, SIGNS))) << 3
-    )
-
-
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows without their texts; ``salt`` spreads null ids over a join."""
-    salt = 0
-    for batch in batches:
-        texts = [t or b"" for t in as_bytes(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array(range(salt, salt + len(texts)), pa.int64()),
-                batch.column("part"),
-                pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
-                pa.array(map(mask, texts), pa.int32()),
-            ],
-            ["doc_id", "salt", "part", "digest", "mask"],
-        )
-        salt += len(texts)
+def judged(docs: DataFrame) -> DataFrame:
+    """``doc_id, salt, part, digest, mask`` of rows; ``salt`` spreads null ids over a join."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("text"), words.alias("words"))
+    n, points = F.size("words"), F.length("text")
+    letters = points - F.length(F.translate("text", UPPER, ""))
+    fails = {
+        "A": n < 50,
+        "B": 100 * F.size(F.array_distinct("words")) < 65 * n,
+        "C": 100 * letters.cast("long") > 5 * points,
+        "D": F.col("text").rlike(SIGNS),
+    }
+    mask = sum((F.when(failed, 1 << FILTERS.index(f)).otherwise(0) for f, failed in fails.items()), F.lit(0))
+    salt, digest = F.floor(F.rand(7) * 2**60), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)
+    return rows.select("doc_id", salt.alias("salt"), "part", digest.alias("digest"), mask.alias("mask"))
 
 
-JUDGED = "doc_id long, salt long, part string, digest binary, mask int"
 GATHERED = "bucket long, digest string, least long, mask int, counts string"
 CHANGES = "part string, mask int, good boolean, toxic boolean, n long"
 STATE = "texts string"
@@ -112,9 +97,9 @@ def _gathered(buckets: int):
     Beside them, without a digest, the rows of each counter as they arrive.
     """
 
-    def flush(texts: dict[bytes, list], arrived: dict[tuple, int]) -> pa.RecordBatch:
+    def flush(texts: dict[str, list], arrived: dict[tuple, int]) -> pa.RecordBatch:
         rows = [
-            (int.from_bytes(digest[:8]) % buckets, digest.hex(), least, failed, json.dumps([[*kind, *n] for kind, n in kinds.items()]))
+            (int(digest[:16], 16) % buckets, digest, least, failed, json.dumps([[*kind, *n] for kind, n in kinds.items()]))
             for digest, (least, failed, kinds) in texts.items()
         ]
         for (failed, *kind), n in arrived.items():
@@ -125,7 +110,7 @@ def _gathered(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[bytes, list] = {}
+        texts: dict[str, list] = {}
         arrived: dict[tuple, int] = defaultdict(int)
         held = 0
         for batch in batches:
@@ -206,12 +191,11 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def changes(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     """The changes to the counters ``part, mask, good, toxic`` that a stream of documents makes."""
-    narrow = docs.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("part"))
-    judged = narrow.mapInArrow(_judged, JUDGED)
+    rows = judged(docs)
     # null ids are spread, and meet nobody
     own = F.when(F.col("doc_id").isNull(), F.col("salt")).otherwise(F.col("doc_id"))
     known = F.col("_own").eqNullSafe(F.col("l_id")) & F.col("doc_id").isNotNull()
-    met = judged.withColumn("_own", own).join(marks, known, "left")
+    met = rows.withColumn("_own", own).join(marks, known, "left")
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")]
     gathered = met.select("digest", "doc_id", "mask", "part", *flags).mapInArrow(_gathered(buckets), GATHERED)
     return gathered.groupBy("bucket").applyInPandasWithState(_update, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout)

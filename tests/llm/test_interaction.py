@@ -100,7 +100,7 @@ def test_a_task_hands_on_a_row_for_each_text():
     n = 3000
     batch = pa.RecordBatch.from_pydict(
         {
-            "digest": [b"0" * 16] * n,
+            "digest": ["0" * 32] * n,
             "doc_id": list(range(n, 0, -1)),
             "mask": [1] * n,
             "part": [f"s{i % 20}" for i in range(n)],
