@@ -230,8 +230,11 @@ def job3_only(spark, folder):
 VENDOR_FIELDS = [Field("part", "name of the part")]
 
 
+VENDORS_FIRST = RunConfig(min_page_chars=1000, fast_path=FastPath(mode=MODE_FALLBACK, min_result_size=200))
+
+
 def _vendors_first(spark, folder):
-    config = RunConfig(min_page_chars=1000, fast_path=FastPath(mode=MODE_FALLBACK, min_result_size=200))
+    config = VENDORS_FIRST
     return jobs.impute_batch(
         shape(spark, folder, "entities"), VENDOR_FIELDS, tables.table(spark, folder, "pages"), config,
         answers=_answers(spark, folder).withColumn("cost", F.lit(0.0025)),
@@ -261,6 +264,23 @@ def job1_costs(spark, folder):
     return _vendors_first(spark, folder).costs
 
 
+def _stream_vendors_first(spark, folder):
+    pages = tables.table(spark, folder, "pages")
+    arriving = streams.read_stream(spark, f"{folder}/pages.parquet", pages.schema)
+    answers = _answers(spark, folder).withColumn("cost", F.lit(0.0025))
+    return jobs.impute_stream(shape(spark, folder, "entities"), VENDOR_FIELDS, pages, arriving, VENDORS_FIRST, answers)
+
+
+@add("job2_vendors_first", catalog.oracles["job1_vendors_first"])
+def job2_vendors(spark, folder):
+    return _stream_vendors_first(spark, folder).values
+
+
+@add("job2_vendor_costs", catalog.oracles["job1_vendor_costs"])
+def job2_costs(spark, folder):
+    return _stream_vendors_first(spark, folder).costs
+
+
 @add(
     "job3_fast_path_errors",
     f"""WITH+ {ANSWERS} SELECT entity_id, url, substr(url, 1, 50) || '...: ' || CASE WHEN NOT success THEN 'timeout' ELSE 'Empty data' END AS reason

@@ -44,22 +44,27 @@ def extract_with(pages: DataFrame, extractor: Callable, fields: list[Field]) ->
     return pages.select("entity_id", "url", "data").mapInPandas(run, EXTRACTED)
 
 
-def fetch_with(links: DataFrame, fetcher: Callable, concurrent: int) -> DataFrame:
-    """Apply ``fetcher([url]) -> [dict]`` with at most ``concurrent`` tasks at a time."""
+def fetch_with(links: DataFrame, fetcher: Callable, concurrent: int, given: str | None = None) -> DataFrame:
+    """Apply ``fetcher([url]) -> [dict]`` with at most ``concurrent`` tasks at a time.
 
-    def one(url):
+    With ``given``, a column of ``links`` such as the body of a stored page, the call
+    is ``fetcher([url], [value])``.
+    """
+
+    def one(url, *values):
         try:
-            (row,) = fetcher([url])
+            (row,) = fetcher([url], *[[v] for v in values])
             ready = row.get("status") == "ready"
             return url, ready, row.get("status"), row.get("data"), float(row.get("cost") or 0.0), row.get("error")
         except Exception as e:  # noqa: BLE001
             return url, False, "failed", None, 0.0, f"{type(e).__name__}: {e}"
 
+    columns = ["url", *([given] if given else [])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["url", "success", "status", "data", "cost", "error"]
         for batch in batches:
-            urls = batch["url"].tolist()
-            for k in range(0, len(urls), FRAME):
-                yield pd.DataFrame([one(u) for u in urls[k : k + FRAME]], columns=columns)
+            for k in range(0, len(batch), FRAME):
+                rows = zip(*[batch[c].iloc[k : k + FRAME] for c in columns])
+                yield pd.DataFrame([one(*r) for r in rows], columns=["url", "success", "status", "data", "cost", "error"])
 
-    return links.select("url").repartition(concurrent).mapInPandas(run, FETCHED)
+    return links.select(*columns).repartition(concurrent).mapInPandas(run, FETCHED)

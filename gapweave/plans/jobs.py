@@ -7,6 +7,7 @@ costs a re-read, not a recomputation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -173,22 +174,17 @@ def fast_only_rows(rows: DataFrame, outcome: DataFrame, results: DataFrame) -> D
     )
 
 
-def impute_batch(
+def _impute(
     entities: DataFrame,
     fields: list[Field],
     pages: DataFrame,
     config: RunConfig,
-    answers: DataFrame | None = None,
-    search_usage: DataFrame | None = None,
-    model_usage: DataFrame | None = None,
+    answers: DataFrame | None,
+    search_usage: DataFrame | None,
+    model_usage: DataFrame | None,
+    extracted: Callable[[DataFrame], DataFrame],
 ) -> Run:
-    """The whole way from entities to values, for any number of entities.
-
-    With a fast path the vendors' ``answers(url, success, data, data_kind, error, cost?)``
-    come first (the page store stands in for missing ones), and only entities that
-    they don't serve are searched for.  Pages are extracted once per link and only
-    if some entity asked for them; afterwards only short results are joined back.
-    """
+    """A run whose pages are extracted by ``extracted(links)``, at once or as they arrive."""
     mode = config.fast_path.mode
     fast = outcome = None
     rest = entities
@@ -197,14 +193,12 @@ def impute_batch(
         outcome = hand_over(fast_path(entities, given, config))
         fast = fast_results(entities, given, fields, config)
         rest = entities.join(outcome.filter("goes_on").select("entity_id"), "entity_id", "left_semi")
-    costs = ["cost"] if "cost" in pages.columns else []
     if mode == MODE_ONLY:
         results, links = fast, fast.select("entity_id", "url", "channel", "pos")
     else:
         found = search.search_links(queries_of(rest), pages, config.top_k, config.interleave, config.deduplicate)
         links = hand_over(found.select("entity_id", F.col("link").alias("url"), "channel", "pos"))
-        asked = link_filter.asked_pages(pages, links)
-        results = link_results(links, hand_over(page_results(asked, fields, config, costs)))
+        results = link_results(links, extracted(links))
         if fast is not None:
             results, links = with_fast_path(results, fast), links.unionByName(fast.select("entity_id", "url", "channel", "pos"))
     runs = run_rows(entities, results)
@@ -214,28 +208,59 @@ def impute_batch(
     return Run(links, results, fused_values(results, config), runs, run_costs(runs, search_usage, fetched, model_usage))
 
 
+def _costs(pages: DataFrame) -> list[str]:
+    return ["cost"] if "cost" in pages.columns else []
+
+
+def impute_batch(
+    entities: DataFrame,
+    fields: list[Field],
+    pages: DataFrame,
+    config: RunConfig,
+    answers: DataFrame | None = None,
+    search_usage: DataFrame | None = None,
+    model_usage: DataFrame | None = None,
+) -> Run:
+    """The whole way from entities to values, for any number of entities.
+
+    With a fast path the vendors' ``answers(url, success, data, data_kind, error, cost?)``
+    come first (the page store stands in for missing ones), and only entities that
+    they don't serve are searched for.  Pages are extracted once per link and only
+    if some entity asked for them; afterwards only short results are joined back.
+    """
+
+    def extracted(links: DataFrame) -> DataFrame:
+        asked = link_filter.asked_pages(pages, links)
+        return hand_over(page_results(asked, fields, config, _costs(pages)))
+
+    return _impute(entities, fields, pages, config, answers, search_usage, model_usage, extracted)
+
+
 def impute_stream(
-    entities: DataFrame, fields: list[Field], pages: DataFrame, arriving: DataFrame, config: RunConfig
+    entities: DataFrame,
+    fields: list[Field],
+    pages: DataFrame,
+    arriving: DataFrame,
+    config: RunConfig,
+    answers: DataFrame | None = None,
+    search_usage: DataFrame | None = None,
+    model_usage: DataFrame | None = None,
 ) -> Run:
-    """As ``impute_batch``, but pages are extracted as they arrive.
+    """As ``impute_batch``, fast path and costs included, but pages are extracted as they arrive.
 
     Links are searched in the pages known so far; ``arriving`` is a stream of
     fetched pages.  Its results are appended file by file, and everything behind
     them is the batch code, so a restart goes on where the stream stopped.
     """
-    found = search.search_links(
-        queries_of(entities), pages, config.top_k, config.interleave, config.deduplicate
-    )
-    links = hand_over(found.select("entity_id", F.col("link").alias("url"), "channel", "pos"))
-    asked = arriving.join(links.select("url").distinct(), "url", "left_semi")
-    path = scratch_dir(pages.sparkSession)
-    done = page_results(asked, fields, config)
-    streams.append_files(done, path)
-    per_page = pages.sparkSession.read.schema(done.schema).parquet(path)
-    results = link_results(links, per_page)
-    runs = run_rows(entities, results)
-    unpaid = results.select("entity_id", "url", F.lit(0.0).alias("cost"))
-    return Run(links, results, fused_values(results, config), runs, run_costs(runs, None, unpaid, None))
+
+    def extracted(links: DataFrame) -> DataFrame:
+        asked = arriving.join(links.select("url").distinct(), "url", "left_semi")
+        path = scratch_dir(pages.sparkSession)
+        done = page_results(asked, fields, config, _costs(arriving))
+        streams.append_files(done, path)
+        return pages.sparkSession.read.schema(done.schema).parquet(path)
+
+    return _impute(entities, fields, pages, config, answers, search_usage, model_usage, extracted)
 
 
 def fill_table(target: DataFrame, values: DataFrame, fields: list[str]) -> DataFrame:
