@@ -348,6 +348,22 @@ def a12_approx(spark, folder):
     return gather.approximate_agreement(_values(spark, folder))
 
 
+@add(
+    "a12_united_sketches",
+    """SELECT event_type AS field, count(DISTINCT CAST(ts AS DATE)) AS n_sketches, count(DISTINCT user_id) AS exact, true AS within_bound
+       FROM events GROUP BY event_type""",
+)
+def a12_united(spark, folder):
+    events = tables.table(spark, folder, "events").withColumn("day", F.to_date("ts")).withColumnRenamed("event_type", "field")
+    path = scratch_dir(spark)
+    # stored by day; a later reader unites as many days as it likes
+    gather.value_sketches(events, ["field", "day"], "user_id").write.partitionBy("day").parquet(path)
+    counts = gather.united_counts(spark.read.parquet(path), ["field"])
+    exact = events.groupBy("field").agg(F.count_distinct("user_id").alias("exact"))
+    close = F.abs(F.col("distinct_values") - F.col("exact")) <= F.ceil(F.col("exact") * gather.SKETCH_ERROR)
+    return counts.join(exact, "field").select("field", "n_sketches", "exact", close.alias("within_bound"))
+
+
 @add(
     "a13_streaming_metrics",
     f"""SELECT run_id, 1.0::DOUBLE AS scrape_success_rate,
