@@ -313,7 +313,8 @@ def _budget(spark, folder):
 @add(
     "job4_budget_runs",
     f"""WITH+ {BUDGET_EXTRACT}, ok AS (SELECT DISTINCT url FROM v WHERE value IS NOT NULL)
-        SELECT entity_id, total_cost, budget_mode, count(*) FILTER (status = 'ready') AS successful_scrapes, count(ok.url) AS successful_extractions,
+        SELECT entity_id, total_cost, budget_mode, count(*) FILTER (status = 'ready') AS successful_scrapes,
+          count(*) FILTER (status = 'ready' AND coalesce(length(data), 0) < 1000) AS scrapes_too_small, count(ok.url) AS successful_extractions,
           CASE WHEN count(ok.url) > 0 THEN 'finished' ELSE 'failed' END AS status,
           CASE WHEN count(*) FILTER (status = 'ready') = 0 THEN 'No successful scrapes' WHEN count(ok.url) = 0 THEN 'No successful extractions' END AS error
         FROM merged JOIN dear USING (entity_id) LEFT JOIN ok USING (url) GROUP BY 1, 2, 3""",

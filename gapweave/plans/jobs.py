@@ -326,11 +326,12 @@ def flow_with_budget(
         "data", F.when(F.col("passed") & fetch.is_extractable(), F.col("data"))
     )
     # one pass: rows without data keep their status and simply find nothing
-    keep = ["entity_id", "url", "status", "data"]
+    keep = ["entity_id", "url", "status", "data", "passed"]
     done = extract.with_content(gated.select(*keep), fields, config)
-    results = hand_over(done.select("entity_id", "url", "status", "success", "content"))
+    results = hand_over(done.select("entity_id", "url", "status", "passed", "success", "content"))
     per = results.groupBy("entity_id").agg(
         F.count_if(F.col("status") == "ready").alias("successful_scrapes"),
+        F.count_if((F.col("status") == "ready") & ~F.coalesce("passed", F.lit(False))).alias("scrapes_too_small"),
         F.count_if("success").alias("successful_extractions"),
     )
     ok = F.col("successful_extractions") > 0
@@ -339,6 +340,7 @@ def flow_with_budget(
         "total_cost",
         "budget_mode",
         "successful_scrapes",
+        "scrapes_too_small",
         "successful_extractions",
         F.when(ok, FINISHED).otherwise(FAILED).alias("status"),
         F.when(F.col("successful_scrapes") == 0, F.lit(NO_SCRAPES)).when(~ok, F.lit(NO_EXTRACTS)).alias("error"),
