@@ -202,7 +202,7 @@ def test_no_query_multiplies_rows_or_leaves_the_jvm(spark, folder, name):
     plan = plan_of(QUERIES[name](spark, folder))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     python = re.search(r"PythonUDF|MapInPandas|ArrowEvalPython|BatchEvalPython", plan)
-    assert bool(python) == (name in ("u1_extractor_hook", "u4_fetcher_hook"))
+    assert bool(python) == (name in ("u1_extractor_hook", "u4_fetcher_hook", "u4_stored_pages", "j9_keyword_table"))
 
 
 def test_rank_filters_are_cut_before_the_shuffle(spark, folder):
