@@ -210,6 +210,30 @@ def test_rank_filters_are_cut_before_the_shuffle(spark, folder):
         assert "Partial" in plan_of(QUERIES[name](spark, folder)).split("WindowGroupLimit", 1)[1]
 
 
+def test_pairs_of_a_search_reach_no_shuffle(spark, folder):
+    """Only postings are dealt out by document; a query's words are looked up where they are."""
+    for name in ("r1_search_documents", "r1_search_pages", "r3_search_links"):
+        plan = plan_of(QUERIES[name](spark, folder))
+        assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, \d+\), REPARTITION_BY", plan)) == 1
+
+
+@pytest.mark.parametrize("meetings", [1, 7, 4_000_000])
+def test_searches_in_place_and_by_candidates_agree(spark, monkeypatch, meetings):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(c, i, " ".join(rng.choices(words, k=rng.randrange(0, 25)))) for i in range(80) for c in ("title", "body")]
+    docs += [("body", 100 + i, "w1 w2 w3") for i in range(9)]  # ties
+    corpus = spark.createDataFrame(docs, "channel string, doc_id long, text string")
+    asked = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 6)))) for i in range(20)] + [(90, "rare"), (91, "###"), (92, "w1 rare")]
+    queries = spark.createDataFrame(asked, "entity_id long, name string")
+    columns = ["entity_id", "channel", "doc_id", "channel_rank", "score"]
+    monkeypatch.setattr(search, "TASK_MEETINGS", meetings)
+    in_place = sorted(tuple(r) for r in search.search(queries, corpus, 89, 4).select(*columns).collect())
+    monkeypatch.setattr(search, "MAX_BROADCAST_WORDS", 0)
+    assert in_place == sorted(tuple(r) for r in search.search(queries, corpus, 89, 4).select(*columns).collect())
+    assert len(in_place) > 100
+
+
 def test_scans_read_only_what_is_used(spark, folder):
     plan = plan_of(QUERIES["a3_costs_by_url"](spark, folder))
     assert "ReadSchema: struct<page_id:bigint,url:string,html:string>" in plan
