@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapweave import catalog
+from gapweave.config import MODE_ONLY, FastPath, Field, RunConfig
 from gapweave.operators import gather, hits, metrics, running, search
+from gapweave.plans import jobs
 
 QUERIES = catalog.queries()
 
@@ -234,6 +236,35 @@ def test_searches_in_place_and_by_candidates_agree(spark, monkeypatch, meetings)
     assert len(in_place) > 100
 
 
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    """A thousand entities that ask the same words cost one search, whatever the order of the words."""
+    corpus = spark.createDataFrame([("body", i, f"red bolt n{i}") for i in range(20)], "channel string, doc_id long, text string")
+    names = ["red bolt", "Bolt, red red", "n3", "###", None]
+    queries = spark.createDataFrame([(i, names[i % 5]) for i in range(1000)], "entity_id long, name string")
+    asked = []
+    one = search.postings
+    monkeypatch.setattr(search, "postings", lambda q, c: asked.append(q.count()) or one(q, c))
+    got = Counter(r.entity_id % 5 for r in search.search(queries, corpus, 20, 4).collect())
+    assert asked == [2]
+    assert got == {0: 800, 1: 800, 2: 200}
+
+
+def test_vendor_answers_are_read_once(spark, folder, monkeypatch):
+    """However many entities ask for an answer, its body is read in its own row and goes no further."""
+    answers = spark.createDataFrame([("https://www.digikey.com/en/products/result?keywords=" + n, True, '{"part": "p"}', "json", None) for n in "ab"],
+                                    "url string, success boolean, data string, data_kind string, error string")
+    entities = spark.createDataFrame([(i, "abc"[i % 3], None, None) for i in range(300)], "entity_id long, name string, identifier_context string, impute_task_purpose string")
+    config = RunConfig(fast_path=FastPath(mode=MODE_ONLY))
+    read = []
+    write = jobs.hand_over
+    monkeypatch.setattr(jobs, "hand_over", lambda df: read.append(df.count()) or write(df))
+    results = jobs.fast_results(entities, answers, [Field("part", "the part")], config)
+    assert read == [2]
+    assert Counter(r.content["part"][0] for r in results.collect()) == {"p": 200}
+    plan = plan_of(jobs.fast_path(entities, answers, config))
+    assert re.search(r"Exchange hashpartitioning\(entity_id#\d+L, \d+\), REPARTITION_BY_NUM", plan)
+
+
 def test_scans_read_only_what_is_used(spark, folder):
     plan = plan_of(QUERIES["a3_costs_by_url"](spark, folder))
     assert "ReadSchema: struct<page_id:bigint,url:string,html:string>" in plan
