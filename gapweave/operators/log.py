@@ -6,10 +6,12 @@ run may have any number of them.  Page bodies are not logged, only sizes.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources import store
 from . import fetch
@@ -59,7 +61,8 @@ def run_records(runs: DataFrame, fields) -> DataFrame:
 def write_log(tables: dict[str, DataFrame], path: str, batch: str | None = None) -> str:
     """Add the tables of some runs; each has ``run_id`` and ``run_date``.  Returns the batch.
 
-    A batch has a folder in every table and is committed by a last small file, so a
+    A batch has a folder in every table and is committed by a last small file, which
+    also keeps the tables' columns, since a table without rows leaves no file.  So a
     write that broke off shows nothing, and one that is tried again under the same
     ``batch`` replaces what it had written.  The rebalance before each write merges
     small days and splits large ones, so neither tiny files nor one oversized task
@@ -74,7 +77,8 @@ def write_log(tables: dict[str, DataFrame], path: str, batch: str | None = None)
         rows.hint("rebalance", F.col("run_date")).write.mode("overwrite").partitionBy("run_date").parquet(folder)
     if tables:
         spark = next(iter(tables.values())).sparkSession
-        spark.range(1).select(F.current_timestamp().alias("committed_at")).write.mode("overwrite").parquet(
+        columns = json.dumps({name: json.loads(rows.schema.json()) for name, rows in tables.items()})
+        spark.range(1).select(F.current_timestamp().alias("committed_at"), F.lit(columns).alias("columns")).write.mode("overwrite").parquet(
             f"{path}/{COMMITS}/{BATCH}=b-{batch}"
         )
     return batch
@@ -84,10 +88,16 @@ def read_log(
     spark: SparkSession, path: str, run_id: int | None = None, names: tuple[str, ...] = (RUNS, SCRAPES, EXTRACTS)
 ) -> dict[str, DataFrame]:
     """The named tables of committed batches, for one run or for all; a missing id gives no rows."""
-    done = spark.read.parquet(f"{path}/{COMMITS}").select(BATCH)
+    commits = spark.read.option("mergeSchema", True).parquet(f"{path}/{COMMITS}")
+    done, columns = commits.select(BATCH), {}
+    if "columns" in commits.columns:
+        # the last batch with a table has the columns that are read
+        known = commits.select("committed_at", F.explode(F.from_json("columns", "map<string, string>")).alias("name", "schema"))
+        last = known.groupBy("name").agg(F.max_by("schema", "committed_at").alias("schema")).collect()  # a row per table
+        columns = {r.name: T.StructType.fromJson(json.loads(r.schema)).add(BATCH, "string") for r in last}
     tables = {}
     for name in names:
-        rows = spark.read.parquet(f"{path}/{name}")
+        rows = (spark.read.schema(columns[name]) if name in columns else spark.read).parquet(f"{path}/{name}")
         rows = rows if run_id is None else rows.filter(F.col("run_id") == run_id)
         tables[name] = rows.join(done, BATCH, "left_semi").drop(BATCH)
     return tables

@@ -163,6 +163,18 @@ def test_saved_pages_are_not_overwritten_unasked(spark):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_a_log_table_without_rows_is_read(spark, pages):
+    """Where no page is too small or without values, nothing is logged as an error."""
+    entities = spark.createDataFrame([(1, "switching", None, None)], ENTITY)
+    run = jobs.impute_batch(entities, VOLTAGE, pages, RunConfig(top_k=5, min_page_chars=200))
+    started = dt.datetime(2025, 5, 1)
+    logged = jobs.log_tables(run, entities, VOLTAGE, started, started)
+    path = jobs.write_log(logged, scratch_dir(spark))
+    back = jobs.read_log(spark, path, names=log.TABLES)
+    assert {name: t.count() for name, t in back.items()} == {"runs": 1, "hits": 1, "scrapes": 1, "extracts": 1, "values": 1, "errors": 0}
+    assert all(t.columns == logged[name].columns and t.schema["run_date"].dataType.typeName() == "date" for name, t in back.items())
+
+
 def test_log_paths():
     assert log.log_path("/x/", "prod") == "/x/production/run_log"
     assert log.log_path("/x", "anything") == "/x/test/run_log"
