@@ -89,8 +89,11 @@ def read(spark: SparkSession, path: str) -> Index:
 
 
 def _score(tf, terms):
-    """Whole score of a document's counts ``tf`` for a query's ``terms``."""
-    given = F.filter(F.transform(terms, lambda t: tf[t["word"]] * t["idf"]), lambda v: v.isNotNull())
+    """Whole score of a document's counts ``tf`` for a query's weights ``terms``.
+
+    The two maps are merged by a hash of their keys; a lookup of a single key would go through the map.
+    """
+    given = F.filter(F.map_values(F.map_zip_with(terms, tf, lambda _, idf, n: n * idf)), lambda v: v.isNotNull())
     return F.round(F.aggregate(given, F.lit(0.0), lambda a, v: a + v), PLACES)
 
 
@@ -114,7 +117,7 @@ def search(queries: DataFrame, index: Index, k: int) -> DataFrame:
     postings = opened.select(*QUERY, "least_tf", F.inline(F.arrays_zip("docs", "tfs")))
     pairs = postings.filter("tfs >= least_tf").select(*QUERY, F.col("docs").alias("doc_id")).distinct()
     # the words of one query
-    listed = terms.groupBy(*QUERY).agg(F.sort_array(F.collect_list(F.struct("word", "idf"))).alias("terms"))
+    listed = terms.groupBy(*QUERY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "idf")))).alias("terms"))
     wanted = pairs.join(listed, QUERY)
     scored = wanted.join(index.vectors, ["channel", "doc_id"]).select(*PAIR, _score(F.col("tf"), F.col("terms")).alias("score"))
     return hits.top_k(scored, QUERY, [F.desc("score"), "doc_id"], k, "channel_rank")

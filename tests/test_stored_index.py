@@ -61,6 +61,13 @@ def test_a_search_reads_no_text_and_shuffles_no_table(spark, index):
     assert "text:string" not in plan and plan.count("Bucketed: true") >= 3
 
 
+def test_scores_merge_a_document_and_a_query_once(spark, index):
+    """No lookup goes through the words of a document for each word of a query."""
+    queries = spark.createDataFrame([(1, "w3 w40")], "entity_id long, name string")
+    plan = stored_index.search(queries, index, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_zip_with(" in plan and "lambda x" not in plan.split("map_zip_with(")[1].split("tf#")[0] and "[lambda" not in plan
+
+
 def test_blocks_are_in_order_of_impact(index):
     blocks = index.blocks.collect()
     assert all(b.n == len(b.docs) == len(b.tfs) <= stored_index.BLOCK and b.max_tf == b.tfs[0] and list(b.tfs) == sorted(b.tfs, reverse=True) for b in blocks)
