@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,7 +42,7 @@ from .text import as_bytes, whole_groups
 PART = 2048
 # Bytes of a text that one task encodes on its own.
 LONG = 1 << 16
-# Remembered words, and as many stretches: two generations of at most so many.
+# Remembered words, and as many stretches, in two generations.
 REMEMBERED = 150_000
 # In digests, where a worker also does other work before and after: memory before speed.
 REMEMBERED_BRIEFLY = 30_000
@@ -50,7 +51,7 @@ WORD_END = "</w>"
 # Fixed by the vocabulary file: its special tokens and its splitting rule, for lower-case Latin.
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 LATIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ſ]+")
-PLAIN_SIGN = re.compile(rb"[!-/:-@\[-`{-~]")
+PLAIN = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]*)")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 
 
@@ -77,9 +78,13 @@ class Memory(dict):
         return found
 
 
-def as_ids(numbers: Iterable[int]) -> bytes:
+# by count, the numbers of a few ids
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
+def as_ids(numbers: list[int]) -> bytes:
     """Numbers as little-endian unsigned 32-bit integers."""
-    return np.fromiter(numbers, "<u4").tobytes()
+    return PACK[len(numbers)](*numbers) if len(numbers) < 16 else np.array(numbers, "<u4").tobytes()
 
 
 class Encoder:
@@ -96,7 +101,8 @@ class Encoder:
         self.signs = byte_signs()
         self.model = self.library.model
         limit = remembered or REMEMBERED
-        self.words, self.stretches = Memory(self.word, limit), Memory(self._stretch_bytes, limit)
+        # one memory for both, since a stretch is looked up as the word that it is on its own
+        self.words = self.stretches = Memory(self.word, 2 * limit)
 
     # -- stretches: what the pre-tokenizer does not split, in the signs of the vocabulary
 
@@ -148,13 +154,15 @@ class Encoder:
                     yield signs
 
     def word(self, word: bytes) -> bytes:
-        if word.isalpha() and word.islower():
-            return self.stretches[word]
-        if word[:-1].isalpha() and word[:-1].islower() and PLAIN_SIGN.fullmatch(word[-1:]):
-            return self.stretches[word[:-1]] + self.stretches[word[-1:]]
+        plain = PLAIN.fullmatch(word)
+        if plain:
+            letters, signs = plain.groups()
+            return self.words[letters] + self.words[signs] if signs else self._stretch_bytes(letters)
         text = word.decode()
         if LATIN.fullmatch(text) and "<|" not in text:
-            return b"".join([self.stretches[s.encode()] for s in SPLIT.findall(text.lower())])
+            # a stretch on its own is a word of that one stretch
+            parts = [s.encode() for s in SPLIT.findall(text.lower())]
+            return b"".join([self.words[s] for s in parts]) if len(parts) > 1 else self._stretch_bytes(parts[0])
         return b"".join(as_ids([s] if isinstance(s, int) else self.stretch(s)) for s in self.stretches_of(text))
 
     def text(self, text: bytes | None) -> bytes:

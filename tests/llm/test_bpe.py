@@ -79,3 +79,13 @@ def test_decode_gives_the_text_back(make_docs, library):
 
 def test_no_rows(make_docs):
     assert bpe.digests(make_docs([])).collect() == []
+
+
+def test_a_word_is_made_once(encoder, monkeypatch):
+    """A stretch that is a word of its own, or part of several, is remembered once."""
+    fresh, made = bpe.Encoder(PATH), []
+    whole = fresh._stretch_bytes
+    monkeypatch.setattr(fresh, "_stretch_bytes", lambda plain: made.append(plain) or whole(plain))
+    assert fresh.text("stone stone. STONE!! stone&&& élan Élan, it's".encode()) == encoder.text("stone stone. stone!! stone&&& élan élan, it's".encode())
+    assert len(made) == len(set(made)) and not fresh.words.old
+    assert {"stone", "élan", "!!", "'s"} <= {k.decode() for k in fresh.words} and fresh.words is fresh.stretches
