@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from gapweave.operators import stored_index
@@ -61,11 +62,44 @@ def test_a_search_reads_no_text_and_shuffles_no_table(spark, index):
     assert "text:string" not in plan and plan.count("Bucketed: true") >= 3
 
 
-def test_scores_merge_a_document_and_a_query_once(spark, index):
-    """No lookup goes through the words of a document for each word of a query."""
+def test_a_search_looks_no_word_up_in_rows_and_moves_no_vector(spark, index):
+    """A document's counts are unpacked once for all its queries, and stay in their bucket."""
     queries = spark.createDataFrame([(1, "w3 w40")], "entity_id long, name string")
-    plan = stored_index.search(queries, index, 5)._jdf.queryExecution().optimizedPlan().toString()
-    assert "map_zip_with(" in plan and "lambda x" not in plan.split("map_zip_with(")[1].split("tf#")[0] and "[lambda" not in plan
+    with_joins = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in with_joins}
+    try:
+        for key, value in with_joins.items():
+            spark.conf.set(key, value)
+        plan = stored_index.search(queries, index, 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    lines = plan.splitlines()
+    assert "lambda" not in plan and any("MapInArrow" in line for line in lines)
+    at = next(i for i, line in enumerate(lines) if "_vectors[" in line)
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    above = []  # from the scan of the vectors up to the first join
+    for line in reversed(lines[:at]):
+        here = len(line) - len(line.lstrip(" :+-"))
+        if here < depth:
+            depth = here
+            above.append(line)
+            if "Join" in line:
+                break
+    assert "SortMergeJoin" in above[-1] and not any("Exchange" in line for line in above)
+
+
+@pytest.mark.parametrize("size", [1, 7, 128, 1000])
+def test_blocks_are_cut_across_batches(size):
+    rng = random.Random(size)
+    rows = sorted((c, f"w{rng.randrange(6) ** 2}", -rng.randrange(1, 5), d) for c in ("a", "b") for d in range(1500))
+    columns = {"channel": [r[0] for r in rows], "word": [r[1] for r in rows], "doc_id": [r[3] for r in rows]}
+    table = pa.table({**columns, "tf": pa.array([-r[2] for r in rows], pa.int32())})
+    got = [b for batch in stored_index._cut_blocks(iter(table.to_batches(max_chunksize=size))) for b in batch.to_pylist()]
+    postings = [(b["channel"], b["word"], -tf, d) for b in got for d, tf in zip(b["docs"], b["tfs"])]
+    assert postings == rows and all(b["n"] == len(b["docs"]) and b["max_tf"] == b["tfs"][0] for b in got)
+    per_word = Counter((r[0], r[1]) for r in rows)
+    assert Counter((b["channel"], b["word"]) for b in got) == {w: -(-n // stored_index.BLOCK) for w, n in per_word.items()}
 
 
 def test_blocks_are_in_order_of_impact(index):
