@@ -236,6 +236,23 @@ def test_searches_in_place_and_by_candidates_agree(spark, monkeypatch, meetings)
     assert len(in_place) > 100
 
 
+def test_many_meetings_are_searched_by_likely_pairs(spark, monkeypatch):
+    """Queries and documents that meet in common words: the same answers, also in parts of the queries, and few pairs of them scored."""
+    rng = random.Random(6)
+    docs = [("body", i, " ".join(["common"] * rng.randrange(1, 60) + [f"w{min(int(rng.paretovariate(0.7)), 30)}" for _ in range(rng.randrange(1, 40))])) for i in range(300)]
+    corpus = spark.createDataFrame(docs + [("title", i, f"common w{i % 7}") for i in range(300)], "channel string, doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"common w{i % 25} w{i % 19}") for i in range(60)], "entity_id long, name string")
+    columns = ["entity_id", "channel", "doc_id", "channel_rank", "score"]
+    in_place = sorted(tuple(r) for r in search.search(queries, corpus, 300, 4).select(*columns).collect())
+    monkeypatch.setattr(search, "MOST_MEETINGS", 0)
+    before = spark.conf.get(search.BY_SOME_KEYS, "true")
+    for words in (1000, 100):
+        monkeypatch.setattr(search, "PART_WORDS", words)
+        assert in_place == sorted(tuple(r) for r in search.search(queries, corpus, 300, 4).select(*columns).collect())
+    assert spark.conf.get(search.BY_SOME_KEYS, "true") == before
+    assert len(in_place) > 300
+
+
 def test_equal_queries_are_searched_once(spark, monkeypatch):
     """A thousand entities that ask the same words cost one search, whatever the order of the words."""
     corpus = spark.createDataFrame([("body", i, f"red bolt n{i}") for i in range(20)], "channel string, doc_id long, text string")
